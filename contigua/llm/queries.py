@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import packing, token_file
+from . import mixing, packing, quality, simhash, token_file, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +22,25 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_token_file": op1_token_file, "op6_best_fit_packing": op6_best_fit_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_source_mix, op3_simhash, op4_url_filter, op5_quality, op6_best_fit_packing)}
+ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE}
