@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, html_text, mixing, packing, quality, simhash, token_file, url_filter
+from . import hmm, html_text, itq, mixing, packing, quality, simhash, token_file, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,5 +50,9 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_source_mix, op3_simhash, op4_url_filter, op5_quality, op6_best_fit_packing, op7_hmm, op9_html_text)}
+def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_source_mix, op3_simhash, op4_url_filter, op5_quality, op6_best_fit_packing, op7_hmm, op9_html_text, op10_itq)}
 ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE}
