@@ -151,3 +151,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     found = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the documents that the model predicts to be bad; all columns stay as they are, whatever their names."""
+    own = docs.columns
+    names = ["text" if c == "text" else f"c_{i}" for i, c in enumerate(own)]
+    return scored(docs.toDF(*names), model).where("predicted = 1").select(*names).toDF(*own)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import hmm, html_text, itq, mixing, packing, quality, simhash, token_file, url_filter
+from . import hmm, html_text, itq, media, mixing, packing, quality, simhash, token_file, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +55,11 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_source_mix, op3_simhash, op4_url_filter, op5_quality, op6_best_fit_packing, op7_hmm, op9_html_text, op10_itq)}
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited copies of every image whose id is divisible by 20, against all images."""
+    images = media.rendered(table(spark, sf_dir, "embeddings"))
+    return media.copies(media.edits(images.where(F.col("media_id") % 20 == 0)), images)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_source_mix, op3_simhash, op4_url_filter, op5_quality, op6_best_fit_packing, op7_hmm, op8_image_copies, op9_html_text, op10_itq)}
 ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE}

@@ -1,13 +1,52 @@
-"""The corpus pipeline (see STAGES)."""
-from contigua.llm import packing
-from contigua.llm.queries import tokenizer_path
+"""The corpus pipeline: drop poor documents, keep one of each near-duplicate group, mix sources, pack sequences.
 
-def best_fit_packing(spark, docs, sf_dir):
+STAGES lists its stages in order; each takes (spark, docs, sf_dir) and works on all that the one before kept. All but
+the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from contigua.llm import mixing, packing, quality, simhash
+from contigua.llm.common import materialise
+from contigua.llm.queries import table, tokenizer_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier fitted on these documents' labels doesn't reject."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: sources come to their target weights."""
+    return mixing.mixed_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixed documents with their sequences and offsets."""
     return packing.pack_documents(docs, tokenizer_path())
 
-STAGES = [("best-fit packing", best_fit_packing)]
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("mixing sources to target weights", source_mixing),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: The classifier compresses text and the packing tokenises it: SQL has neither.
 ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.split()[0].lower())
     return STAGES[-1][1](spark, docs, sf_dir)
