@@ -11,13 +11,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, materialise
 
 BLOCK = 1024
 LEVEL = 3
 DICT_BYTES = 112 * 1024
-#: What is fitted on: so many blocks of text for each dictionary, so many documents of each label for calibration.
-MAX_BLOCKS = 6000
+#: What is fitted on: so many documents and blocks of them for each dictionary, twice so many documents for calibration.
+MAX_DOCUMENTS, MAX_BLOCKS = 4000, 6000
 MAX_CALIBRATION = 3000
 
 
@@ -84,22 +84,28 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return (float(w[0] - slope @ mean), *map(float, slope))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, raw, label, part): training rows alone; part 0 is for dictionaries, part 1 for calibration.
+def sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_calibration: int) -> DataFrame:
+    """(raw, label, part, h) of a bounded sample of training rows; part 0 is for dictionaries, part 1 for calibration.
 
-    A document with several labels takes the smallest, null labels are no labels.
+    The sample is that with the smallest hashes h: the same at every run, and spread over the whole table. It is drawn
+    from the ids of the labels, so that texts aren't moved: the chosen ids, at most 2 * (max_documents +
+    max_calibration), go to the texts. A document with several labels takes the smallest; null labels are none.
     """
     one = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label")).where(crc_mod("doc_id", 3) != 1)
+    name = F.col("doc_id").cast("string")
+    one = one.withColumns({"part": (F.crc32(F.concat(F.lit("part"), name).cast("binary")) % 2).cast("int"), "h": F.md5(name.cast("binary"))})
+    drawn = [one.where((F.col("part") == 0) & (F.col("label") == y)).orderBy("h").limit(max_documents) for y in (0, 1)]
+    # Labels are independent of the hash: the share of each label in the sample is that of the table.
+    drawn.append(one.where("part = 1").orderBy("h").limit(2 * max_calibration))
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for d in drawn for r in d.collect()], "doc_id long, label int, part int, h string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    return texts.join(one, "doc_id").withColumn("part", (F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int"))
-
+    return materialise(texts.join(F.broadcast(chosen), "doc_id").select("raw", "label", "part", "h"), "quality-sample")
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_blocks: int = MAX_BLOCKS, max_calibration: int = MAX_CALIBRATION) -> Model:
-    """Fits on a bounded sample of labelled rows: max_blocks blocks a label, max_calibration documents a label.
 
-    The sample is that with the smallest hashes: the same at every run, and spread over the whole table.
-    """
-    rows = labelled(docs, labels)
+def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = MAX_DOCUMENTS, max_blocks: int = MAX_BLOCKS, max_calibration: int = MAX_CALIBRATION) -> Model:
+    """Fits on a bounded sample of labelled rows: max_documents of each label, cut to max_blocks blocks, for the
+    dictionaries; twice max_calibration for the calibration."""
+    rows = sample(docs, labels, max_documents, max_calibration)
 
     def to_blocks(batches):
         for batch in batches:
@@ -120,10 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_blocks: int = MAX_BLOCKS, max
             found = [sizes.features(raw.as_py()) for raw in batch.column(0)]
             yield pa.RecordBatch.from_pydict({"label": batch.column(1)} | {f"x{k}": pa.array([f[k] for f in found], pa.float64()) for k in range(3)})
 
-    few = rows.where("part = 1").withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary")))
-    # Labels are independent of the hash: the share of each label in the sample is that of the table.
-    few = few.orderBy("h").limit(2 * max_calibration).select("raw", "label")
-    got = few.mapInArrow(to_features, "label int, x0 double, x1 double, x2 double").collect()
+    got = rows.where("part = 1").select("raw", "label").mapInArrow(to_features, "label int, x0 double, x1 double, x2 double").collect()
+    got.sort()
     x, y = np.array([[r.x0, r.x1, r.x2] for r in got]).reshape(-1, 3), np.array([r.label for r in got], float)
     return Model(good, bad, calibrate(x, y))
 
