@@ -133,31 +133,48 @@ def describe(grey: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(where), np.concatenate(tests)
 
 
+#: A corner's place in quarters of a pixel, turn in 4096ths and scale, packed as 20, 20, 12 and 4 bits of a long.
+PLACE, TURN, SCALE = 20, 12, 4
+
+
+def _packed(where: np.ndarray) -> np.ndarray:
+    x, y = (np.clip(np.rint(where[:, k] * 4), 0, (1 << PLACE) - 1).astype(np.int64) for k in (0, 1))
+    turn = np.rint(where[:, 2] / (2 * np.pi) * (1 << TURN)).astype(np.int64) & ((1 << TURN) - 1)
+    return ((x << PLACE | y) << TURN | turn) << SCALE | where[:, 3].astype(np.int64)
+
+
+def _unpacked(at: str) -> dict:
+    """x, y, turn in radians and scale of a packed place."""
+    part = lambda shift, bits: F.shiftright(F.col(at), shift).bitwiseAND(F.lit((1 << bits) - 1))
+    return {"x": part(PLACE + TURN + SCALE, PLACE) / 4, "y": part(TURN + SCALE, PLACE) / 4, "turn": part(SCALE, TURN) * F.lit(2 * np.pi / (1 << TURN)), "scale": part(0, SCALE).cast("int")}
+
+
 def described(media: DataFrame, *, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
-    """(media_id, digest, corners): corners hold place, turn, scale and the tests as two longs. Undecodable: no corner."""
-    corner = "struct<no: int, x: double, y: double, turn: double, scale: int, d0: long, d1: long>"
+    """(media_id, digest, corners): corners hold the packed place and the tests as two longs. Undecodable: no corner."""
 
     def run(batches):
         for batch in batches:
-            digest, corners = [], []
+            digest, counts, at, tests = [], [0], [], []
             for raw in batch.column(1):
                 raw = raw.as_py()
-                where, tests = describe(decode(raw))
-                pairs = np.frombuffer(tests.tobytes(), ">i8").reshape(-1, 2)
+                where, bits = describe(decode(raw))
                 digest.append(hashlib.md5(raw or b"").digest())
-                corners.append([{"no": i, "x": x, "y": y, "turn": t, "scale": int(s), "d0": a, "d1": b} for i, ((x, y, t, s), (a, b)) in enumerate(zip(where.tolist(), pairs.tolist(), strict=True))])
-            kind = pa.struct([("no", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("turn", pa.float64()), ("scale", pa.int32()), ("d0", pa.int64()), ("d1", pa.int64())])
-            yield pa.RecordBatch.from_pydict({"media_id": batch.column(0), "digest": pa.array(digest, pa.binary()), "corners": pa.array(corners, pa.list_(kind))})
+                counts.append(counts[-1] + len(where))
+                at.append(_packed(where))
+                tests.append(np.frombuffer(bits.tobytes(), ">i8").reshape(-1, 2).astype(np.int64))
+            at, tests = np.concatenate(at), np.concatenate(tests)
+            flat = pa.StructArray.from_arrays([pa.array(at), pa.array(tests[:, 0]), pa.array(tests[:, 1])], ["at", "d0", "d1"])
+            yield pa.RecordBatch.from_pydict({"media_id": batch.column(0), "digest": pa.array(digest, pa.binary()), "corners": pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat)})
 
-    return media.select(F.col(id_col).cast("long").alias("media_id"), F.col(image_col).cast("binary")).mapInArrow(run, f"media_id long, digest binary, corners array<{corner}>")
+    return media.select(F.col(id_col).cast("long").alias("media_id"), F.col(image_col).cast("binary")).mapInArrow(run, "media_id long, digest binary, corners array<struct<at: long, d0: long, d1: long>>")
 
 
 def _filed(found: DataFrame, own: str) -> DataFrame:
-    """A row for each corner and table."""
-    flat = found.select(F.col("media_id").alias(own), F.explode("corners").alias("c")).select(own, "c.*")
+    """A row for each corner and table; no is the corner's number in its image."""
+    flat = found.select(F.col(own), F.posexplode("corners").alias("no", "c")).select(own, "no", "c.*")
     parts = [F.shiftrightunsigned("d0", 32), F.col("d0").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("d1", 32), F.col("d1").bitwiseAND(F.lit(0xFFFFFFFF))]
     keys = F.array(*[p + F.lit(t << 32) for t, p in enumerate(parts)])
-    return flat.select(own, "no", "x", "y", "turn", "scale", "d0", "d1", F.explode(keys).alias("key"))
+    return flat.select(own, "no", "at", "d0", "d1", F.explode(keys).alias("key"))
 
 
 def copies(queries: DataFrame, media: DataFrame, *, min_votes: int = MIN_VOTES, **columns) -> DataFrame:
@@ -172,8 +189,7 @@ def copies(queries: DataFrame, media: DataFrame, *, min_votes: int = MIN_VOTES,
     classes = all_rows.groupBy("digest").agg(F.min("media_id").alias("media_id"), F.count("*").alias("n_copies"), F.first("corners").alias("corners"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "media-classes")
     asked = materialise(described(queries, **columns).withColumn("rid", F.monotonically_increasing_id()), "media-queries")
-    index = _filed(classes.select(F.col("cid").alias("media_id"), "corners"), "cid")
-    a, b = _filed(asked.select(F.col("rid").alias("media_id"), "corners"), "rid").alias("a"), index.alias("b")
+    a, b = _filed(asked, "rid").alias("a"), _filed(classes, "cid").drop("no").alias("b")
     chunk = lambda side, t: F.shiftrightunsigned(F.col(f"{side}.d{t // 2}"), 32) if t % 2 == 0 else F.col(f"{side}.d{t // 2}").bitwiseAND(F.lit(0xFFFFFFFF))
     table = F.shiftright(F.col("a.key"), 32)
     # A pair of corners counts in the first table that has it.
@@ -182,13 +198,13 @@ def copies(queries: DataFrame, media: DataFrame, *, min_votes: int = MIN_VOTES,
         first = first & ((table <= t) | (chunk("a", t) != chunk("b", t)))
     apart = F.bit_count(F.col("a.d0").bitwiseXOR(F.col("b.d0"))) + F.bit_count(F.col("a.d1").bitwiseXOR(F.col("b.d1")))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & first & (apart <= MAX_BITS))
-    turn = F.col("b.turn") - F.col("a.turn")
-    step = F.col("b.scale") - F.col("a.scale")
+    a_at, b_at = _unpacked("a.at"), _unpacked("b.at")
+    turn, step = b_at["turn"] - a_at["turn"], b_at["scale"] - a_at["scale"]
     size = F.pow(F.lit(SCALES[1]), step)
     cell = F.pmod(F.round(turn / (2 * np.pi) * TURN_CELLS), F.lit(TURN_CELLS)).cast("int")
     angle = cell * F.lit(2 * np.pi / TURN_CELLS)
-    dx = F.col("b.x") - size * (F.cos(angle) * F.col("a.x") - F.sin(angle) * F.col("a.y"))
-    dy = F.col("b.y") - size * (F.sin(angle) * F.col("a.x") + F.cos(angle) * F.col("a.y"))
+    dx = b_at["x"] - size * (F.cos(angle) * a_at["x"] - F.sin(angle) * a_at["y"])
+    dy = b_at["y"] - size * (F.sin(angle) * a_at["x"] + F.cos(angle) * a_at["y"])
     voted = met.select("a.rid", "b.cid", "a.no", cell.alias("turn"), step.alias("scale"), dx.alias("dx"), dy.alias("dy"))
     # Cells overlap by half, so that no consensus falls between two.
     voted = voted.withColumn("half", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])))
