@@ -197,7 +197,8 @@ def copies(queries: DataFrame, media: DataFrame, *, min_votes: int = MIN_VOTES,
     for t in range(3):
         first = first & ((table <= t) | (chunk("a", t) != chunk("b", t)))
     apart = F.bit_count(F.col("a.d0").bitwiseXOR(F.col("b.d0"))) + F.bit_count(F.col("a.d1").bitwiseXOR(F.col("b.d1")))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & first & (apart <= MAX_BITS))
+    # The queries are hashed, so that the far larger index needn't be sorted and spilled.
+    met = b.join(a.hint("shuffle_hash"), (F.col("a.key") == F.col("b.key")) & first & (apart <= MAX_BITS))
     a_at, b_at = _unpacked("a.at"), _unpacked("b.at")
     turn, step = b_at["turn"] - a_at["turn"], b_at["scale"] - a_at["scale"]
     size = F.pow(F.lit(SCALES[1]), step)
