@@ -91,7 +91,11 @@ class Codes:
         return np.concatenate(keys).astype(np.int64), np.concatenate(own)
 
     def first_key(self, code_a, mask_a, code_b, mask_b) -> np.ndarray:
-        """The least key of the first table under which both of a pair are filed; -1 if there is none."""
+        """One key of the first table in which both of a pair are filed under a common one; -1 if there is none.
+
+        It is the substring itself where they are equal there, else the least common key: any task that holds both
+        finds the same, so a pair counts once.
+        """
         none = np.int64(1) << np.int64(62)
         out = np.full(len(code_a), -1, np.int64)
         for t in range(TABLES):
