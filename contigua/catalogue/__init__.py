@@ -1,6 +1,6 @@
 """The library's queries by name, and the SQL that says the same."""
 
-from . import base, read_queries
+from . import base, graph_queries, read_queries
 
 
 def queries():
