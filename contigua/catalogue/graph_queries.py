@@ -192,8 +192,8 @@ rw as (
   select id s, rc s_rc, id, rc, 0 pos, 0::bigint at, 0::bigint ov from rn
   union all select s, s_rc, li.dst, li.dst_rc, pos + 1, at + step, li.overlap from rw join li on li.src = rw.id and li.src_rc = rw.rc where (li.dst, li.dst_rc) <> (s, s_rc)),
 rh as (select s, s_rc from rw group by all having (s, s_rc) = min((id, rc))),
-al as (select head, head_rc, id, rc, pos, at, ov from ch union all select s, s_rc, id, rc, pos, at, case when pos = 0 then 0 else ov end from rw join rh using (s, s_rc)),
-tl as (select head, head_rc from al group by all having (head, head_rc) <= (arg_max(id, pos), not arg_max(rc, pos))),
+al as (select head, head_rc, id, rc, pos, at, ov, false ring from ch union all select s, s_rc, id, rc, pos, at, case when pos = 0 then 0 else ov end, true from rw join rh using (s, s_rc)),
+tl as (select head, head_rc from al group by all having case when bool_or(ring) then not head_rc else (head, head_rc) <= (arg_max(id, pos), not arg_max(rc, pos)) end),
 kp as (select al.* from al join tl using (head, head_rc)),
 ctg as (select min(k.id) id, string_agg(substr(case when k.rc then {rc('d.seq')} else d.seq end, cast(ov + 1 as int)), '' order by pos) seq, count(*) n_reads, sum(d.coverage)::bigint coverage
   from kp k join deg d on d.id = k.id group by head, head_rc)"""

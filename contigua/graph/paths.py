@@ -72,11 +72,14 @@ def _doubled(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def kept_chains(graph: Graph, ranked: DataFrame | None = None) -> DataFrame:
-    """chains() of one of each two mirror images: that whose head is not after the other's."""
+    """chains() of one of each two mirror images: that whose head is not after the other's; of rings, which open where
+    either begins, that whose head is as written."""
     ranked = materialise(chains(graph) if ranked is None else ranked, "chains")
     w = ["head", "head_rc"]
     tails = ranked.groupBy(*w).agg(F.max_by(F.struct("id", "rc"), "pos").alias("tail"))
-    one = tails.where(F.struct(F.col("head").alias("id"), F.col("head_rc").alias("rc")) <= F.struct(F.col("tail.id").alias("id"), (~F.col("tail.rc")).alias("rc")))
+    rings = linear_arcs(graph).select(F.col("dst").alias("head"), F.col("dst_rc").alias("head_rc"), F.lit(True).alias("ring"))
+    first = F.struct(F.col("head").alias("id"), F.col("head_rc").alias("rc")) <= F.struct(F.col("tail.id").alias("id"), (~F.col("tail.rc")).alias("rc"))
+    one = tails.join(rings, w, "left").where(F.when(F.col("ring"), ~F.col("head_rc")).otherwise(first))
     return ranked.join(one.select(*w), w, "left_semi")
 
 

@@ -125,7 +125,7 @@ def test_max_overlap(spark):
     graph = make(spark, {k: s[k] for k in ("v0", "v1", "v2", "v3", "v4")}, ties)
     keys = lambda **k: {r.edge_key for r in clean.weaker_overlaps(graph, 5, genome=1_000_000, **k).collect()}
     assert keys() == {"e01", "e03"}
-    assert keys(careful=True) == {"e03"}
+    assert keys(careful=True) == set()  # either is best seen from its other end
     assert clean.weaker_overlaps(graph, 5).count() == 0  # no vertex is unique in a genome that large
 
 
@@ -225,7 +225,7 @@ def test_asqg_round_trip(spark, tmp_path):
     assert {tuple(r) for r in back.vertices.select("id", "seq", "coverage").collect()} == {tuple(r) for r in graph.vertices.select("id", "seq", "coverage").collect()}
     assert asqg.graphviz_lines(back).count() == vertices.count() + edges.count()
     with pytest.raises(ValueError):
-        model.build(df.limit(1), overlap.string_graph(df, 8), strict=True)
+        model.build(df.where("read_idx < 1"), edges, strict=True)
 
 
 def test_asqg_tags(spark, tmp_path):

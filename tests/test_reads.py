@@ -20,7 +20,8 @@ def frame(spark, seqs, quality=None):
 
 
 def genome(n, seed):
-    return "".join(random.Random(seed).choice("ACGT") for _ in range(n))
+    rng = random.Random(seed)
+    return "".join(rng.choice("ACGT") for _ in range(n))
 
 
 def tiles(seed, n=90, size=20, count=14):
