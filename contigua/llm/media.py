@@ -23,7 +23,7 @@ RADIUS = 7
 LEAST_RESPONSE = 1e5
 CORNERS = 40
 TURNS = 32
-MAX_BITS = 12
+MAX_BITS = 8
 #: A vote's cell: shift in pixels; a turn is a 16th, a scale one step of the pyramid.
 CELL = 12
 TURN_CELLS = 16
@@ -199,14 +199,17 @@ def copies(queries: DataFrame, media: DataFrame, *, min_votes: int = MIN_VOTES,
     apart = F.bit_count(F.col("a.d0").bitwiseXOR(F.col("b.d0"))) + F.bit_count(F.col("a.d1").bitwiseXOR(F.col("b.d1")))
     # The queries are hashed, so that the far larger index needn't be sorted and spilled.
     met = b.join(a.hint("shuffle_hash"), (F.col("a.key") == F.col("b.key")) & first & (apart <= MAX_BITS))
-    a_at, b_at = _unpacked("a.at"), _unpacked("b.at")
+    # A pair of images has at most all pairs of its corners; most have one by chance, and too few to vote.
+    pairs = met.select("rid", "cid", F.struct(F.col("a.no").alias("no"), F.col("a.at").alias("a"), F.col("b.at").alias("b")).alias("m")).groupBy("rid", "cid").agg(F.collect_list("m").alias("m"))
+    met = pairs.where(F.size("m") >= min_votes).select("rid", "cid", F.explode("m").alias("m")).select("rid", "cid", "m.*")
+    a_at, b_at = _unpacked("a"), _unpacked("b")
     turn, step = b_at["turn"] - a_at["turn"], b_at["scale"] - a_at["scale"]
     size = F.pow(F.lit(SCALES[1]), step)
     cell = F.pmod(F.round(turn / (2 * np.pi) * TURN_CELLS), F.lit(TURN_CELLS)).cast("int")
     angle = cell * F.lit(2 * np.pi / TURN_CELLS)
     dx = b_at["x"] - size * (F.cos(angle) * a_at["x"] - F.sin(angle) * a_at["y"])
     dy = b_at["y"] - size * (F.sin(angle) * a_at["x"] + F.cos(angle) * a_at["y"])
-    voted = met.select("a.rid", "b.cid", "a.no", cell.alias("turn"), step.alias("scale"), dx.alias("dx"), dy.alias("dy"))
+    voted = met.select("rid", "cid", "no", cell.alias("turn"), step.alias("scale"), dx.alias("dx"), dy.alias("dy"))
     # Cells overlap by half, so that no consensus falls between two.
     voted = voted.withColumn("half", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])))
     voted = voted.withColumn("cx", F.floor(F.col("dx") / CELL + F.col("half.i") / 2)).withColumn("cy", F.floor(F.col("dy") / CELL + F.col("half.j") / 2))
