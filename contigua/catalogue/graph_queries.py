@@ -185,14 +185,14 @@ ar as (select src, dir = 1 src_rc, dst, twin_dir = 0 dst_rc, overlap, count(*) o
 li as (select ar.*, size - overlap step from ar join deg on id = src where a = 1 and b = 1 and src <> dst),
 nd as (select id, rc from deg, (values (false), (true)) t(rc)),
 ch as (
-  select id head, rc head_rc, id, rc, 0 pos, 0::bigint at, 0::bigint ov from nd where not exists (select 1 from li where dst = id and dst_rc = rc)
-  union all select head, head_rc, li.dst, li.dst_rc, pos + 1, at + step, li.overlap from ch join li on li.src = ch.id and li.src_rc = ch.rc),
+  select id head, rc head_rc, id, rc, 0 pos, 0::bigint bp, 0::bigint ov from nd where not exists (select 1 from li where dst = id and dst_rc = rc)
+  union all select head, head_rc, li.dst, li.dst_rc, pos + 1, bp + step, li.overlap from ch join li on li.src = ch.id and li.src_rc = ch.rc),
 rn as (select id, rc from nd anti join ch using (id, rc)),
 rw as (
-  select id s, rc s_rc, id, rc, 0 pos, 0::bigint at, 0::bigint ov from rn
-  union all select s, s_rc, li.dst, li.dst_rc, pos + 1, at + step, li.overlap from rw join li on li.src = rw.id and li.src_rc = rw.rc where (li.dst, li.dst_rc) <> (s, s_rc)),
+  select id s, rc s_rc, id, rc, 0 pos, 0::bigint bp, 0::bigint ov from rn
+  union all select s, s_rc, li.dst, li.dst_rc, pos + 1, bp + step, li.overlap from rw join li on li.src = rw.id and li.src_rc = rw.rc where (li.dst, li.dst_rc) <> (s, s_rc)),
 rh as (select s, s_rc from rw group by all having (s, s_rc) = min((id, rc))),
-al as (select head, head_rc, id, rc, pos, at, ov, false ring from ch union all select s, s_rc, id, rc, pos, at, case when pos = 0 then 0 else ov end, true from rw join rh using (s, s_rc)),
+al as (select head, head_rc, id, rc, pos, bp, ov, false ring from ch union all select s, s_rc, id, rc, pos, bp, case when pos = 0 then 0 else ov end, true from rw join rh using (s, s_rc)),
 tl as (select head, head_rc from al group by all having case when bool_or(ring) then not head_rc else (head, head_rc) <= (arg_max(id, pos), not arg_max(rc, pos)) end),
 kp as (select al.* from al join tl using (head, head_rc)),
 ctg as (select min(k.id) id, string_agg(substr(case when k.rc then {rc('d.seq')} else d.seq end, cast(ov + 1 as int)), '' order by pos) seq, count(*) n_reads, sum(d.coverage)::bigint coverage
@@ -243,7 +243,7 @@ def bfs_distance(spark, sf_dir):
 _MATES = "mt as (select a.id, b.id mate from deg a join deg b on b.id = left(a.id, length(a.id) - 1) || translate(right(a.id, 1), '12', '21'))"
 
 
-@query(sql(f"{_CHAINS}, {_MATES} select count(*) n, floor(avg(abs(a.at - b.at)))::bigint mean, floor(stddev_pop(abs(a.at - b.at)))::bigint deviation from kp a join mt on mt.id = a.id and a.id < mate join kp b on b.id = mate and b.head = a.head and b.head_rc = a.head_rc", "graph", recursive=True))
+@query(sql(f"{_CHAINS}, {_MATES} select count(*) n, floor(avg(abs(a.bp - b.bp)))::bigint mean, floor(stddev_pop(abs(a.bp - b.bp)))::bigint deviation from kp a join mt on mt.id = a.id and a.id < mate join kp b on b.id = mate and b.head = a.head and b.head_rc = a.head_rc", "graph", recursive=True))
 def insert_size(spark, sf_dir):
     return paths.insert_size(paths.insert_sizes(graph(spark, sf_dir), _kept(spark, sf_dir)))
 
