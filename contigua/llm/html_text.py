@@ -3,7 +3,8 @@
 Every block-level node gets a density: characters per tag, scaled by a logarithm that shrinks where characters are
 link characters. The node with the greatest sum of child densities is the core of the article; the least density on
 the path from the body to it is the threshold for what else belongs to the text. What a page declares to be menu,
-header, footer, sidebar, notice, advert, form or comment is left out before densities are taken.
+header, footer, sidebar, notice, advert, form or comment is left out before densities are taken; where only the words
+of a class or id say so, an element that holds the densest text of the page stays.
 """
 
 from __future__ import annotations
@@ -32,41 +33,50 @@ LISTS = frozenset("ul ol dl menu".split())
 CLOSES = {"li": (frozenset(("li",)), LISTS), "dt": (frozenset(("dt", "dd")), LISTS), "dd": (frozenset(("dt", "dd")), LISTS), "tr": (frozenset(("tr", "td", "th")), frozenset(("table",))), "td": (frozenset(("td", "th")), frozenset(("table", "tr"))), "th": (frozenset(("td", "th")), frozenset(("table", "tr"))), "option": (frozenset(("option",)), frozenset(("select",)))}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute, name and value: what stands in the value of another or ends a longer name is none.
+ATTRIBUTE = re.compile(r"""([^\s=/>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
+#: Less text than this isn't the main text of an element whose class says otherwise.
+LEAST_TEXT = 200
+STAYS, BY_WORD, GONE = 0, 1, 2
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+def _left_out(tag: str, attributes: str, in_article: bool) -> int:
+    """GONE for what tag, role or style leave out, BY_WORD for what only words of class or id do."""
     if tag in LEFT_OUT or (tag == "header" and not in_article):
-        return True
+        return GONE
     if not attributes or tag in ("html", "body"):
-        return False
+        return STAYS
+    said = STAYS
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return GONE
         if name == "role" and value in LEFT_OUT_ROLES and tag not in ARTICLES:
-            return True
+            return GONE
         if name in ("class", "id") and tag not in ARTICLES:
             words = re.findall("[a-z]+", value)
             if LEFT_OUT_WORDS.intersection(words) or (name == "id" and value == "header"):
-                return True
-    return False
+                said = BY_WORD
+    return said
 
 
 class Page:
     """Block-level nodes of a page in order, with their text segments and counts."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.out = ["#root"], [-1], [False]
+        self.tag, self.parent, self.out, self.by_word = ["#root"], [-1], [False], [False]
         self.tags, self.link_tags, self.chars, self.link_chars = [0], [0], [0], [0]
         self.segments: list[tuple[int, str]] = []
         self._parse(source)
+        self._settle()
 
     def _parse(self, source: str) -> None:
         stack = [0]
         pieces: list[str] = []
         link_pieces: list[str] = []
         links = articles = 0
+        # An inline element that is left out, and how many of its name are open; the block around it goes on behind it.
+        muted, depth = "", 0
         at, size = 0, len(source)
 
         def flush() -> None:
@@ -90,7 +100,7 @@ class Page:
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
-                if not m[0].startswith(("<!", "<?")):
+                if not muted and not m[0].startswith(("<!", "<?")):
                     text = html.unescape(m[0])
                     pieces.append(text)
                     if links:
@@ -98,13 +108,18 @@ class Page:
                 continue
             closing, attributes = m[1] or m[4], m[3] or m[6] or ""
             if closing:
+                if tag == muted:
+                    depth -= 1
+                    muted = muted if depth else ""
                 if tag == "a":
                     links = 0
-                elif tag in INLINE and not any(self.tag[n] == tag for n in stack[-8:]):
+                elif tag in INLINE:
                     pass
                 elif tag == "p" and not any(self.tag[n] == "p" for n in stack):
+                    muted = ""
                     flush()
                 elif any(self.tag[n] == tag for n in stack):
+                    muted = ""
                     while self.tag[stack[-1]] != tag:
                         pop()
                     pop()
@@ -124,52 +139,95 @@ class Page:
                 pieces.append(" ")
             if tag in VOID and tag not in ("hr",):
                 continue
-            gone = self.out[node] or _left_out(tag, attributes, articles > 0)
-            if tag in INLINE and (not gone or self.out[node]):
+            gone = GONE if self.out[node] else _left_out(tag, attributes, articles > 0)
+            if tag in INLINE:
+                # A link ends the one before.
+                if muted == tag == "a":
+                    muted = ""
+                if muted:
+                    depth += tag == muted
+                elif gone and not self.out[node]:
+                    muted, depth = tag, 1
                 continue
-            if tag not in INLINE:
-                while self.tag[stack[-1]] in INLINE:
+            muted = ""
+            if tag != "hr" and any(self.tag[n] == "p" for n in stack[-4:]):
+                while self.tag[stack[-1]] != "p":
                     pop()
-                if tag != "hr" and any(self.tag[n] == "p" for n in stack[-4:]):
-                    while self.tag[stack[-1]] != "p":
+                pop()
+            if tag in CLOSES:
+                own, scope = CLOSES[tag]
+                k = len(stack) - 1
+                while k > 0 and self.tag[stack[k]] not in scope and self.tag[stack[k]] not in own:
+                    k -= 1
+                if self.tag[stack[k]] in own:
+                    while len(stack) > k:
                         pop()
-                    pop()
-                if tag in CLOSES:
-                    own, scope = CLOSES[tag]
-                    k = len(stack) - 1
-                    while k > 0 and self.tag[stack[k]] not in scope and self.tag[stack[k]] not in own:
-                        k -= 1
-                    if self.tag[stack[k]] in own:
-                        while len(stack) > k:
-                            pop()
             flush()
             if tag == "hr":
                 continue
             node = stack[-1]
             self.tag.append(tag)
             self.parent.append(node)
-            self.out.append(self.out[node] or gone)
+            self.out.append(self.out[node] or gone == GONE)
+            self.by_word.append(gone == BY_WORD)
             for counts in (self.tags, self.link_tags, self.chars, self.link_chars):
                 counts.append(0)
             stack.append(len(self.tag) - 1)
             articles += tag in ARTICLES
         flush()
 
-    def densities(self) -> tuple[list[float], list[float]]:
-        """Composite density of each node and the sum over its children; counts of a node come to hold its subtree's."""
+    def _settle(self) -> None:
+        """Leaves out what class and id words name, but for the element with the densest text of the page, if that is one.
+
+        A region is an element so named without those within it; region 0 is the page without any of them. Where
+        region 0 has text in a declared article, only a region that has some too can take its place.
+        """
+        if not any(self.by_word):
+            return
+        region = [0] * len(self.tag)
+        declared = [False] * len(self.tag)
+        for node in range(1, len(self.tag)):
+            region[node] = node if self.by_word[node] else region[self.parent[node]]
+            declared[node] = self.tag[node] in ARTICLES or declared[self.parent[node]]
+        core, prose, in_article = ([0.0] * len(self.tag) for _ in range(3))
+        for node, (c, lc) in enumerate(zip(self.chars, self.link_chars, strict=True)):
+            prose[region[node]] += c - lc
+            if declared[node]:
+                in_article[region[node]] += c - lc
+        density, sums = self.densities(region)
+        for node in range(len(self.tag)):
+            core[region[node]] = max(core[region[node]], density[node], sums[node])
+        able = [n for n in range(1, len(self.tag)) if self.by_word[n] and prose[n] >= LEAST_TEXT and (in_article[n] or not in_article[0])]
+        best = max(able, key=lambda n: (core[n], -n), default=0)
+        stays = {0}
+        if best and core[best] > core[0]:
+            while best:
+                stays.add(region[best])
+                best = self.parent[best]
+        for node in range(1, len(self.tag)):
+            if region[node] not in stays and not self.out[node]:
+                self.out[node], self.chars[node], self.link_chars[node] = True, 0, 0
+        self.segments = [x for x in self.segments if not self.out[x[0]]]
+
+    def densities(self, region: list[int] | None = None) -> tuple[list[float], list[float]]:
+        """Composite density of each node and the sum over its children, from counts of its subtree (within its region)."""
+        tags, link_tags, chars, link_chars = (list(x) for x in (self.tags, self.link_tags, self.chars, self.link_chars))
+        within = [region is None or region[n] == region[self.parent[n]] for n in range(len(self.tag))]
         for node in range(len(self.tag) - 1, 0, -1):
-            for counts in (self.tags, self.link_tags, self.chars, self.link_chars):
-                counts[self.parent[node]] += counts[node]
-        share = self.link_chars[0] / max(self.chars[0], 1)
+            if within[node]:
+                for counts in (tags, link_tags, chars, link_chars):
+                    counts[self.parent[node]] += counts[node]
+        share = sum(self.link_chars) / max(sum(self.chars), 1)
         density, sums = [], [0.0] * len(self.tag)
-        for c, t, lc, lt in zip(self.chars, self.tags, self.link_chars, self.link_tags, strict=True):
+        for c, t, lc, lt in zip(chars, tags, link_chars, link_tags, strict=True):
             if not c:
                 density.append(0.0)
                 continue
             base = math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e))
             density.append(c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1) + 1) / max(base, 1e-6))
         for node in range(1, len(self.tag)):
-            sums[self.parent[node]] += density[node]
+            if within[node]:
+                sums[self.parent[node]] += density[node]
         return density, sums
 
     def text(self) -> str:

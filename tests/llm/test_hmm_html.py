@@ -143,3 +143,26 @@ def test_extract_rows(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, "u", "x y", 3), (None, None, "", 0), (2, "v", "", 0), (2, "v", "", 0)], key=str)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_a_left_out_link_ends_at_its_end_tag():
+    assert main_text('<p>See <a class="related" href=x>this</a> and the remaining text</p>') == "See and the remaining text"
+    assert main_text('<p>One <span class="ad">x <span>y</span> z</span>two<p>three') == "One two\nthree"
+    assert main_text('<p>One <a class="share" href=x>never closed<p>two <a class="share" href=x>a<a href=y>b</a>') == "One\ntwo b"
+
+
+@pytest.mark.parametrize("attributes", ['title="a hidden one"', "title='role=menu'", 'data-hidden="false"', 'data-id="comments"', 'data-class="ad"', "data-style='display:none'"])
+def test_attributes_go_by_name(attributes):
+    assert main_text(f"<div {attributes}><p>Some words of text.</p></div>") == "Some words of text."
+    assert main_text(f'<div><p>Some <a href="/hidden/x" {attributes}>words</a> of text.</p></div>') == "Some words of text."
+    assert main_text(f"<p>kept</p><div {attributes} hidden><p>Some words of text.</p></div>") == "kept"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "share", "social", "notice", "widget"])
+@pytest.mark.parametrize("wrap", ["{}", "<article>{}</article>", "<div class=social>{}</div>"])
+def test_density_overrules_class_words(name, wrap):
+    body = "".join(f"<p>{prose(i, 30)}</p>" for i in range(4))
+    want = "\n".join(prose(i, 30) for i in range(4))
+    comments = f'<div id="comments"><p>{prose(9, 20)}</p></div>'
+    assert main_text(f'<div class="ad">Buy this.</div><div class="{name}">{wrap.format(body)}{comments}</div>') == want
+    assert main_text(f'<article>{body}</article><div class="{name}"><p>{prose(8, 300)}</p></div>') == want
