@@ -2,9 +2,10 @@
 
 Every block-level node gets a density: characters per tag, scaled by a logarithm that shrinks where characters are
 link characters. The node with the greatest sum of child densities is the core of the article; the least density on
-the path from the body to it is the threshold for what else belongs to the text. What a page declares to be menu,
-header, footer, sidebar, notice, advert, form or comment is left out before densities are taken; where only the words
-of a class or id say so, an element that holds the densest text of the page stays.
+the path from the body to it is the threshold for what else belongs to the text, on every page; a declared article or
+main lets thinner text pass that isn't mostly links. What a page declares to be menu, header, footer, sidebar, notice,
+advert, form or comment is left out before densities are taken; where only the words of a class or id say so, an
+element that holds the densest text of the page stays.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ LEFT_OUT_WORDS = frozenset(
     "social related recommended recommendations widget toolbar pagination pager login signup masthead".split()
 )
 ARTICLES = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: A start tag that ends an open element of the other names, up to the nearest of the last names.
 LISTS = frozenset("ul ol dl menu".split())
 CLOSES = {"li": (frozenset(("li",)), LISTS), "dt": (frozenset(("dt", "dd")), LISTS), "dd": (frozenset(("dt", "dd")), LISTS), "tr": (frozenset(("tr", "td", "th")), frozenset(("table",))), "td": (frozenset(("td", "th")), frozenset(("table", "tr"))), "th": (frozenset(("td", "th")), frozenset(("table", "tr"))), "option": (frozenset(("option",)), frozenset(("select",)))}
@@ -66,7 +68,8 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.out, self.by_word = ["#root"], [-1], [False], [False]
         self.tags, self.link_tags, self.chars, self.link_chars = [0], [0], [0], [0]
-        self.segments: list[tuple[int, str]] = []
+        #: Node, text, and whether most of it is links.
+        self.segments: list[tuple[int, str, bool]] = []
         self._parse(source)
         self._settle()
 
@@ -84,9 +87,10 @@ class Page:
                 text = " ".join("".join(pieces).split())
                 node = stack[-1]
                 if text and not self.out[node]:
-                    self.segments.append((node, text))
+                    linked = len(" ".join("".join(link_pieces).split()))
+                    self.segments.append((node, text, 2 * linked > len(text)))
                     self.chars[node] += len(text)
-                    self.link_chars[node] += len(" ".join("".join(link_pieces).split()))
+                    self.link_chars[node] += linked
                 pieces.clear()
                 link_pieces.clear()
 
@@ -240,21 +244,35 @@ class Page:
         path = [best]
         while path[-1]:
             path.append(self.parent[path[-1]])
-        declared = [n for n in path if self.tag[n] in ARTICLES]
-        if declared:
-            keep = {declared[-1]}
-        else:
-            # The whole core, and beside the path to it what is as dense as the thinnest node of the path.
-            threshold = min(density[n] for n in path)
-            on_path = set(path)
-            keep = {best} | {n for n in range(1, len(self.tag)) if self.parent[n] in on_path and n not in on_path and (density[n] >= threshold or self.tag[n] in ("h1", "h2", "h3", "h4", "h5", "h6"))}
-            if len(self.segments) == sum(s[0] == 0 for s in self.segments) or best == 0:
-                keep = {0}
+        # The whole core, and beside the path to it what is as dense as the thinnest node of the path. That an article is
+        # declared is only a prior: text in it that is thinner stays if less than half of it is links.
+        threshold = min(density[n] for n in path)
+        on_path = set(path)
+        declared = [False] * len(self.tag)
+        for node in range(1, len(self.tag)):
+            declared[node] = self.tag[node] in ARTICLES or declared[self.parent[node]]
+        link_chars, chars = self._of_subtrees(self.link_chars), self._of_subtrees(self.chars)
+
+        def chosen(n: int) -> bool:
+            if declared[n] and 2 * link_chars[n] < chars[n]:
+                return True
+            return self.parent[n] in on_path and (density[n] >= threshold or self.tag[n] in HEADINGS)
+
+        keep = {best} | {n for n in range(1, len(self.tag)) if n not in on_path and chosen(n)}
+        if len(self.segments) == sum(s[0] == 0 for s in self.segments) or best == 0:
+            keep = {0}
         inside = [False] * len(self.tag)
         for node in range(len(self.tag)):
             inside[node] = node in keep or (node > 0 and inside[self.parent[node]])
-        own = on_path if not declared else set()
-        return "\n".join(text for node, text in self.segments if inside[node] or (node in own and density[node]))
+        # Loose text beside the path: links outside the article that the core is in are none of it.
+        own = lambda n, links: n in on_path and density[n] and (declared[n] or not links or not declared[best])
+        return "\n".join(text for node, text, links in self.segments if inside[node] or own(node, links))
+
+    def _of_subtrees(self, counts: list[int]) -> list[int]:
+        total = list(counts)
+        for node in range(len(total) - 1, 0, -1):
+            total[self.parent[node]] += total[node]
+        return total
 
 
 def main_text(source: str | None) -> str:

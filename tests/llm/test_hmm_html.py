@@ -166,3 +166,19 @@ def test_density_overrules_class_words(name, wrap):
     comments = f'<div id="comments"><p>{prose(9, 20)}</p></div>'
     assert main_text(f'<div class="ad">Buy this.</div><div class="{name}">{wrap.format(body)}{comments}</div>') == want
     assert main_text(f'<article>{body}</article><div class="{name}"><p>{prose(8, 300)}</p></div>') == want
+
+
+def paragraphs(*seeds):
+    return "".join(f"<p>{prose(i, 30)}</p>" for i in seeds), [prose(i, 30) for i in seeds]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div><article>{}</article></div>", "<div>{}</div>"])
+def test_sibling_articles_all_stay(wrap):
+    parts = [paragraphs(0, 1, 2), paragraphs(3, 4), paragraphs(5, 6, 7)]
+    assert main_text("<body><a href=#m>Skip</a>" * (wrap != "<div>{}</div>") + "".join(wrap.format(h) for h, _ in parts) + "</body>").split("\n") == sum((t for _, t in parts), [])
+
+
+def test_density_selects_within_a_declared_article():
+    html, want = paragraphs(0, 1, 2)
+    teasers = "".join(f"<div><a href=/{i}>{prose(i, 6)}</a></div>" for i in range(12))
+    assert main_text(f"<body><main><div>{teasers}</div><div>{html}</div><p>Short.</p></main></body>").split("\n") == [*want, "Short."]
