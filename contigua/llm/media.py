@@ -21,7 +21,8 @@ SCALES = (1.0, 1.5, 2.25)
 RADIUS = 7
 #: Least corner response; what flat or faintly grained areas have is below it.
 LEAST_RESPONSE = 1e5
-CORNERS = 40
+#: Corners described at once, and sent from a task in one batch: bounds on memory, not on an image's corners.
+PART = 4096
 TURNS = 32
 MAX_BITS = 8
 #: A vote's cell: shift in pixels; a turn is a 16th, a scale one step of the pyramid.
@@ -92,7 +93,7 @@ def _smaller(x: np.ndarray, factor: float) -> np.ndarray:
 
 
 def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, columns) of the strongest local maxima of the corner response."""
+    """(rows, columns) of the local maxima of the corner response, however many: a crop then has the corners of its area."""
     gy, gx = np.zeros_like(x), np.zeros_like(x)
     gy[1:-1], gx[:, 1:-1] = x[2:] - x[:-2], x[:, 2:] - x[:, :-2]
     a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
@@ -108,9 +109,7 @@ def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         most = grown
     peak = (response == most) & (response > LEAST_RESPONSE)
     peak[:REACH], peak[-REACH:], peak[:, :REACH], peak[:, -REACH:] = False, False, False, False
-    ys, xs = np.nonzero(peak)
-    best = np.argsort(-response[ys, xs], kind="stable")[:CORNERS]
-    return ys[best], xs[best]
+    return np.nonzero(peak)
 
 
 def describe(grey: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -120,16 +119,16 @@ def describe(grey: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         x = grey if factor == 1 else _smaller(grey, factor)
         if min(x.shape) <= 2 * REACH + 2:
             continue
-        ys, xs = _corners(x)
-        if not len(ys):
-            continue
+        rows, columns = _corners(x)
         soft = _box(x, 2)
-        patch = soft[ys[:, None, None] + _GRID[:, None], xs[:, None, None] + _GRID[None]] * _DISK
-        turn = np.arctan2((patch * _GRID[:, None]).sum(axis=(1, 2)), (patch * _GRID[None]).sum(axis=(1, 2)))
-        pattern = _TURNED[np.rint(turn / (2 * np.pi) * TURNS).astype(int) % TURNS]
-        values = soft[ys[:, None, None] + pattern[..., 1], xs[:, None, None] + pattern[..., 0]]
-        tests.append(np.packbits(values[..., 0] < values[..., 1], axis=1))
-        where.append(np.column_stack((xs * factor, ys * factor, turn, np.full(len(xs), float(k)))))
+        for at in range(0, len(rows), PART):
+            ys, xs = rows[at : at + PART], columns[at : at + PART]
+            patch = soft[ys[:, None, None] + _GRID[:, None], xs[:, None, None] + _GRID[None]] * _DISK
+            turn = np.arctan2((patch * _GRID[:, None]).sum(axis=(1, 2)), (patch * _GRID[None]).sum(axis=(1, 2)))
+            pattern = _TURNED[np.rint(turn / (2 * np.pi) * TURNS).astype(int) % TURNS]
+            values = soft[ys[:, None, None] + pattern[..., 1], xs[:, None, None] + pattern[..., 0]]
+            tests.append(np.packbits(values[..., 0] < values[..., 1], axis=1))
+            where.append(np.column_stack((xs * factor, ys * factor, turn, np.full(len(xs), float(k)))))
     return np.concatenate(where), np.concatenate(tests)
 
 
@@ -152,19 +151,24 @@ def _unpacked(at: str) -> dict:
 def described(media: DataFrame, *, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
     """(media_id, digest, corners): corners hold the packed place and the tests as two longs. Undecodable: no corner."""
 
+    def sent(ids, digest, counts, at, tests):
+        at, tests = np.concatenate(at), np.concatenate(tests)
+        flat = pa.StructArray.from_arrays([pa.array(at), pa.array(tests[:, 0]), pa.array(tests[:, 1])], ["at", "d0", "d1"])
+        return pa.RecordBatch.from_pydict({"media_id": ids, "digest": pa.array(digest, pa.binary()), "corners": pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat)})
+
     def run(batches):
         for batch in batches:
-            digest, counts, at, tests = [], [0], [], []
-            for raw in batch.column(1):
+            digest, counts, at, tests, begin = [], [0], [], [], 0
+            for i, raw in enumerate(batch.column(1)):
                 raw = raw.as_py()
                 where, bits = describe(decode(raw))
                 digest.append(hashlib.md5(raw or b"").digest())
                 counts.append(counts[-1] + len(where))
                 at.append(_packed(where))
                 tests.append(np.frombuffer(bits.tobytes(), ">i8").reshape(-1, 2).astype(np.int64))
-            at, tests = np.concatenate(at), np.concatenate(tests)
-            flat = pa.StructArray.from_arrays([pa.array(at), pa.array(tests[:, 0]), pa.array(tests[:, 1])], ["at", "d0", "d1"])
-            yield pa.RecordBatch.from_pydict({"media_id": batch.column(0), "digest": pa.array(digest, pa.binary()), "corners": pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat)})
+                if counts[-1] >= 64 * PART or i + 1 == batch.num_rows:
+                    yield sent(batch.column(0).slice(begin, len(digest)), digest, counts, at, tests)
+                    digest, counts, at, tests, begin = [], [0], [], [], i + 1
 
     return media.select(F.col(id_col).cast("long").alias("media_id"), F.col(image_col).cast("binary")).mapInArrow(run, "media_id long, digest binary, corners array<struct<at: long, d0: long, d1: long>>")
 
@@ -213,9 +217,8 @@ def copies(queries: DataFrame, media: DataFrame, *, min_votes: int = MIN_VOTES,
     # Cells overlap by half, so that no consensus falls between two.
     voted = voted.withColumn("half", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])))
     voted = voted.withColumn("cx", F.floor(F.col("dx") / CELL + F.col("half.i") / 2)).withColumn("cy", F.floor(F.col("dy") / CELL + F.col("half.j") / 2))
-    seen = lambda low: F.expr(f"bit_or(case when no >= {low} and no < {low + 64} then shiftleft(1L, no - {low}) else 0L end)")
-    cells = voted.groupBy("rid", "cid", "turn", "scale", "half", "cx", "cy").agg(seen(0).alias("s0"), seen(64).alias("s1"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
-    cells = cells.withColumn("votes", (F.bit_count("s0") + F.bit_count("s1")).cast("long")).where(F.col("votes") >= min_votes)
+    cells = voted.groupBy("rid", "cid", "turn", "scale", "half", "cx", "cy").agg(F.size(F.collect_set("no")).cast("long").alias("votes"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
+    cells = cells.where(F.col("votes") >= min_votes)
     order = F.struct("votes", -F.abs("scale"), -F.col("turn"), "half", "cx", "cy")
     best = cells.groupBy("rid", "cid").agg(F.max_by(F.struct("votes", "turn", "scale", "dx", "dy"), order).alias("best"))
     named = classes.select("cid", "media_id", "n_copies")

@@ -132,3 +132,18 @@ def test_media_edges(spark):
     empty = spark.createDataFrame([], kind)
     assert media.copies(empty, table).count() == 0 and media.copies(table, empty).count() == 0
     assert media.edits(media.rendered(spark.createDataFrame([(1, [0.5]), (2, None), (None, [])], "vec_id long, embedding array<float>"))).count() == 3
+
+
+def test_small_crops_of_large_images(spark):
+    """A crop of a fiftieth of the area; the parts of an image are pictures of their own."""
+    large = [np.block([[media.draw(1000 * i + 10 * r + c) for c in range(7)] for r in range(7)]) for i in range(3)]
+    crops = [(100 * i + 10 * k, large[i][y : y + 80, x : x + 80]) for i in range(3) for k, (y, x) in enumerate([(40, 60), (200, 330), (410, 150), (470, 475)])]
+    kind = "media_id long, image binary"
+    images = spark.createDataFrame([(i, media.encode(g)) for i, g in enumerate(large)], kind)
+    got = media.copies(spark.createDataFrame([(i, media.encode(g)) for i, g in crops], kind), images).collect()
+    assert {(r.query_id, r.media_id) for r in got} == {(i, i // 100) for i, _ in crops}
+
+
+def test_corners_grow_with_the_area():
+    one, many = (len(media.describe(np.tile(media.draw(5), (n, n)))[0]) for n in (1, 6))
+    assert many > 36 * one
