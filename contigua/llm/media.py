@@ -181,6 +181,48 @@ def _filed(found: DataFrame, own: str) -> DataFrame:
     return flat.select(own, "no", "at", "d0", "d1", F.explode(keys).alias("key"))
 
 
+def _classes(all_rows: DataFrame) -> DataFrame:
+    """A row for each class of the very same bytes: its number, smallest id, rows and corners."""
+    classes = all_rows.groupBy("digest").agg(F.min("media_id").alias("media_id"), F.count("*").alias("n_copies"), F.first("corners").alias("corners"))
+    return materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "media-classes")
+
+
+#: Classes of more rows than these, or this share of all, are met without sending their rows to one task.
+HOT_ROWS, HOT_SHARE = 1000, 1e-4
+
+
+def _members(all_rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(media_id, class_id, n_copies) of every row."""
+    limit = max(HOT_ROWS, int(all_rows.count() * HOT_SHARE))
+    named = classes.select("digest", F.col("media_id").alias("class_id"), "n_copies")
+    # At most 1 / HOT_SHARE classes are as large as that.
+    hot = F.broadcast(named.where(F.col("n_copies") > limit))
+    rows = all_rows.select("media_id", "digest")
+    cold = rows.join(hot, "digest", "left_anti").join(named.where(F.col("n_copies") <= limit), "digest")
+    return rows.join(hot, "digest").union(cold).select("media_id", "class_id", "n_copies")
+
+
+def members(media: DataFrame, **columns) -> DataFrame:
+    """(media_id, class_id, n_copies) of every row: class_id is the smallest id of the n_copies rows with the same bytes.
+
+    Null and empty images are one class; class_id is null where all of a class have null ids.
+    """
+    all_rows = materialise(described(media, **columns), "media")
+    return _members(all_rows, _classes(all_rows))
+
+
+def copies_and_members(queries: DataFrame, media: DataFrame, *, min_votes: int = MIN_VOTES, **columns) -> DataFrame:
+    """The rows of copies() as kind copy, and those of members() as kind member, with class_id in both.
+
+    A copy's media_id is its class_id; rows of kind member with that class_id are all that the query is a copy of.
+    """
+    all_rows = materialise(described(media, **columns), "media")
+    classes = _classes(all_rows)
+    found = _found(queries, classes, min_votes, **columns).select(F.lit("copy").alias("kind"), "*", F.col("media_id").alias("class_id"))
+    rows = _members(all_rows, classes).select(F.lit("member").alias("kind"), "*")
+    return found.unionByName(rows, allowMissingColumns=True)
+
+
 def copies(queries: DataFrame, media: DataFrame, *, min_votes: int = MIN_VOTES, **columns) -> DataFrame:
     """Images of media that queries are copies of, cropped or edited or not: a row for each pair found.
 
@@ -188,10 +230,12 @@ def copies(queries: DataFrame, media: DataFrame, *, min_votes: int = MIN_VOTES,
     very same bytes, which are searched as one. turn is in sixteenths, scale in steps of the pyramid; dx and dy place
     the query's origin in the image. Null, empty and undecodable images, and those without corners, match nothing;
     repeated queries are answered each; a null id among media stands for its class only if the class has no other.
+    members() tells the other ids of the class.
     """
-    all_rows = materialise(described(media, **columns), "media")
-    classes = all_rows.groupBy("digest").agg(F.min("media_id").alias("media_id"), F.count("*").alias("n_copies"), F.first("corners").alias("corners"))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "media-classes")
+    return _found(queries, _classes(materialise(described(media, **columns), "media")), min_votes, **columns)
+
+
+def _found(queries: DataFrame, classes: DataFrame, min_votes: int, **columns) -> DataFrame:
     asked = materialise(described(queries, **columns).withColumn("rid", F.monotonically_increasing_id()), "media-queries")
     a, b = _filed(asked, "rid").alias("a"), _filed(classes, "cid").drop("no").alias("b")
     chunk = lambda side, t: F.shiftrightunsigned(F.col(f"{side}.d{t // 2}"), 32) if t % 2 == 0 else F.col(f"{side}.d{t // 2}").bitwiseAND(F.lit(0xFFFFFFFF))

@@ -56,9 +56,9 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited copies of every image whose id is divisible by 20, against all images."""
+    """Edited copies of every image whose id is divisible by 20, against all images; and the class of every image."""
     images = media.rendered(table(spark, sf_dir, "embeddings"))
-    return media.copies(media.edits(images.where(F.col("media_id") % 20 == 0)), images)
+    return media.copies_and_members(media.edits(images.where(F.col("media_id") % 20 == 0)), images)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_file, op2_source_mix, op3_simhash, op4_url_filter, op5_quality, op6_best_fit_packing, op7_hmm, op8_image_copies, op9_html_text, op10_itq)}

@@ -147,3 +147,17 @@ def test_small_crops_of_large_images(spark):
 def test_corners_grow_with_the_area():
     one, many = (len(media.describe(np.tile(media.draw(5), (n, n)))[0]) for n in (1, 6))
     assert many > 36 * one
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_every_member_of_a_class_is_told(spark, monkeypatch, hot):
+    monkeypatch.setattr(media, "HOT_ROWS", hot)
+    a, b = media.encode(media.draw(3)), media.encode(media.draw(4))
+    images = [(i, a) for i in range(10, 40)] + [(50, b), (None, b), (7, None), (8, b""), (9, b"junk"), (None, b"other")]
+    kind = "media_id long, image binary"
+    table = spark.createDataFrame(images, kind)
+    want = [(i, 10, 30) for i in range(10, 40)] + [(50, 50, 2), (None, 50, 2), (7, 7, 2), (8, 7, 2), (9, 9, 1), (None, None, 1)]
+    assert sorted(map(tuple, media.members(table).collect()), key=str) == sorted(want, key=str)
+    both = media.copies_and_members(spark.createDataFrame([(1, media.encode(media.edited(media.draw(3), 0)))], kind), table).collect()
+    assert sorted([(r.media_id, r.class_id, r.n_copies) for r in both if r.kind == "member"], key=str) == sorted(want, key=str)
+    assert [(r.query_id, r.media_id, r.class_id, r.n_copies) for r in both if r.kind == "copy"] == [(1, 10, 10, 30)]
