@@ -180,8 +180,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, *, id_col:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing, nor do vectors of
-    another length than most have (a tie goes to the longer). Equal vectors are one class with a weight, so copies are
-    counted without being paired. A row without id counts as a link of others; its component is the smallest id that
+    different lengths; those of each length have an index of their own. Equal vectors are one class with a weight, so
+    copies are counted without being paired. A row without id counts as a link of others; its component is the smallest id that
     links reach, null if there is none, and it is kept only where that is null. An empty table gives no rows.
     """
     floats = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
@@ -189,12 +189,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, *, id_col:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if floats else "array<double>").alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     good = (F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda e: e != 0)
-    most = rows.where(good).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not most:
-        return none
-    usable = good & (F.size("v") == most[0].d)
-    usable = F.coalesce(usable, F.lit(False))
+    good = F.coalesce(good, F.lit(False))
+    # A vector alone of its length has nothing to link with.
+    lengths = [r.d for r in rows.where(good).groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()]
+    linked = [_of_length(rows, good & (F.size("v") == d), threshold, kind) for d in lengths]
+    usable = good & F.size("v").isin(lengths)
+    rest = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for found in linked:
+        rest = found.union(rest)
+    return rest
+
+
+def _of_length(rows: DataFrame, usable, threshold: float, kind: np.dtype) -> DataFrame:
+    """near_duplicates() of the usable rows, which are vectors of one length."""
     grouped = rows.where(usable).groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     # Written once: the number of a class is the same wherever it is read.
     classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "itq-classes")
@@ -254,6 +261,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, *, id_col:
     named = materialise(named.select("v", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component")), "itq-named")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.join(smallest, "component").select("v", "n_links", "component_id")
-    linked_rows = rows.where(usable).join(of_class, "v").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
-    rest = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    return linked_rows.union(rest)
+    return rows.where(usable).join(of_class, "v").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

@@ -161,3 +161,19 @@ def test_every_member_of_a_class_is_told(spark, monkeypatch, hot):
     both = media.copies_and_members(spark.createDataFrame([(1, media.encode(media.edited(media.draw(3), 0)))], kind), table).collect()
     assert sorted([(r.media_id, r.class_id, r.n_copies) for r in both if r.kind == "member"], key=str) == sorted(want, key=str)
     assert [(r.query_id, r.media_id, r.class_id, r.n_copies) for r in both if r.kind == "copy"] == [(1, 10, 10, 30)]
+
+
+def test_vectors_of_every_length(spark):
+    rows = clustered() + [(5000 + i, v) for i, v in clustered(1, 16)[:60]] + [(6000, [1.0]), (6001, [3.0]), (6002, [-1.0]), (6003, [1.0] * 5)]
+    rows += [(7000 + i, [1.0, 2.0, 3.0]) for i in range(3)]
+    want = {}
+    for d in {len(v) for _, v in rows if v}:
+        part = [(i, v) for i, v in rows if v is not None and len(v) == d]
+        want |= brute_force(part, d)
+    got = {r.vec_id: r for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    assert [tuple(got[i])[1:] for i in (6000, 6001, 6002, 6003)] == [(1, 6000, True), (1, 6000, False), (0, 6002, True), (0, 6003, True)]
+    assert [tuple(got[7000 + i])[1:] for i in range(3)] == [(2, 7000, i == 0) for i in range(3)]
+    ours = [i for i in want if 5000 <= i < 6000]
+    assert sum(want[i][0] for i in ours) > 0 and sum(got[i].n_links for i in ours) >= 0.95 * sum(want[i][0] for i in ours)
+    assert all(got[i].n_links <= want[i][0] for i in ours)
