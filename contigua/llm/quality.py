@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,20 +133,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = MAX_DOCUMENT
     return Model(good, bad, calibrate(x, y))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, predicted: all their columns stay, a column of either name is replaced. Null text is empty."""
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    out = docs.select(*own).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
+def score_of(model: Model):
+    """The score of a column of texts, as a function on columns: texts go to Python, numbers come back."""
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sizes = Sizes(model.good, model.bad)
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            score = [model.score(sizes.features(t.as_buffer().to_pybytes() if t.is_valid else b"")) for t in batch.column(at)]
-            named = {c: batch.column(batch.schema.get_field_index(c)) for c in own}
-            yield pa.RecordBatch.from_pydict(named | {"score": pa.array(score, pa.float64()), "predicted": pa.array([int(s >= 0.5) for s in score], pa.int32())})
+        for texts in parts:
+            yield pa.array([model.score(sizes.features(t.as_buffer().to_pybytes() if t.is_valid else b"")) for t in texts], pa.float64())
 
-    return docs.select(*own).mapInArrow(run, out)
+    return score
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with score, predicted: all their columns stay, a column of either name is replaced. Null text is empty."""
+    own = [c for c in docs.columns if c not in ("score", "predicted")]
+    return docs.select(*own, score_of(model)(F.col("text").cast("string")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -158,7 +161,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the documents that the model predicts to be bad; all columns stay as they are, whatever their names."""
-    own = docs.columns
-    names = ["text" if c == "text" else f"c_{i}" for i, c in enumerate(own)]
-    return scored(docs.toDF(*names), model).where("predicted = 1").select(*names).toDF(*own)
+    """docs without the documents that the model predicts to be bad; all columns stay as they are, whatever their names.
+
+    Null and empty texts have the model's score of an empty text; repeated rows stay or go together; an empty table stays
+    empty. Texts of any length are compressed whole, block by block.
+    """
+    return docs.where(score_of(model)(F.col("text").cast("string")) >= 0.5)
