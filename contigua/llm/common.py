@@ -16,9 +16,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors reach; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors reach; unset, a temporary one, in local mode alone."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/contigua-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -108,6 +110,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         total = best.join(total, F.col("to") == F.col("m"), "left").select(F.col("v").alias("m"), F.coalesce("root", "to").alias("root"))
     if len(maps) > 1:
         total = materialise(total, "cc-total")
-    smallest = total.groupBy("root").agg(F.min("m").alias("least"))
+    # Written, so that the join has a plain exchange on either side: Spark can then split the partition of a giant root.
+    smallest = materialise(total.groupBy("root").agg(F.min("m").alias("least")), "cc-smallest")
     # A root that never moved is no row of the map of the round that made it a root, but its own first row has it.
     return total.join(smallest, "root").select(F.col("m").alias("node"), F.least("least", "root").alias("component"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import aligned, components, materialise
@@ -22,7 +22,10 @@ MAX_BITS = 4
 #: Segment i covers bits SHIFTS[i] to SHIFTS[i] + WIDTHS[i] - 1.
 WIDTHS = (13, 13, 13, 13, 12)
 SHIFTS = (0, 13, 26, 39, 52)
-HOT_ROWS, HOT_KEYS, BLOCK = 4096, 20_000, 2048
+#: Bits of a key: the segment's number and two segments.
+KEY_BITS = 29
+#: A bucket holds at most so many rows, or is dealt in blocks; a fixed size, whatever the input.
+HOT_ROWS, BLOCK = 4096, 2048
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -141,36 +144,47 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, max_bits: int = MAX_BITS)
     return own[moved], own[parent[moved]]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints of distinct (fp), enough to connect all that are within 4 bits.
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy()
+
+
+def hot_buckets(distinct: DataFrame) -> DataFrame:
+    """(key, blocks): the buckets that may hold more than HOT_ROWS rows, and in how many blocks they are dealt.
 
-    A bucket that holds too many is dealt in blocks, every two of which meet in a task of their own. Which keys those
-    are is the one thing that the driver gathers: at most HOT_KEYS of them, as a hot one holds that share of all keys.
+    A bucket's rows come from its own exact key and from at most 13 others that have one bit more. Where none of these
+    has more than a 14th of HOT_ROWS the bucket is small; all others are told, with their rows counted from above.
     """
-    numbers = distinct.select("fp")
-    n = numbers.count()
+    least = HOT_ROWS // (1 + max(WIDTHS))
 
     def to_keys(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"key": exact_keys(batch.column(0).to_numpy().view(np.uint64))})
+            yield pa.RecordBatch.from_pydict({"key": exact_keys(_numbers(batch, "fp").view(np.uint64))})
+
+    def to_buckets(batches):
+        for batch in batches:
+            key, n = _numbers(batch, "key"), _numbers(batch, "n")
+            keys, counts = [key], [n]
+            for bit in range(max(WIDTHS)):
+                has = (key >> bit) & 1 == 1
+                keys.append(key[has] ^ (1 << bit))
+                counts.append(n[has])
+            yield pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "n": np.concatenate(counts)})
+
+    warm = distinct.select("fp").mapInArrow(to_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    sums = warm.mapInArrow(to_buckets, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return sums.select("key", F.ceil((F.col("n") + HOT_ROWS) / BLOCK).cast("long").alias("blocks"))
+
 
-    limit = max(HOT_ROWS, 5 * n // HOT_KEYS)
-    hot = {r.key: -(-r.n // BLOCK) for r in numbers.mapInArrow(to_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()}
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links between different fingerprints of distinct (fp), enough to connect all that are within 4 bits.
+
+    A bucket that holds too many is dealt in blocks, every two of which meet in a task of their own. Rows learn by a
+    join whether their bucket is one of these.
+    """
 
     def to_rows(batches):
         for batch in batches:
-            keys, own = all_keys(batch.column(0).to_numpy().view(np.uint64))
-            if hot:
-                more_keys, more_own, is_hot = [], [], np.isin(keys, np.fromiter(hot, np.int64))
-                for key, fp in zip(keys[is_hot].tolist(), own[is_hot].tolist(), strict=True):
-                    blocks = hot[key]
-                    mine = (fp * 0x9E3779B97F4A7C15 >> 20) % blocks
-                    for other in range(blocks):
-                        low, high = min(mine, other), max(mine, other)
-                        more_keys.append(key | (1 + high * (high + 1) // 2 + low) << 29)
-                        more_own.append(fp)
-                keys = np.concatenate((keys[~is_hot], np.array(more_keys, np.int64)))
-                own = np.concatenate((own[~is_hot], np.array(more_own, np.uint64)))
+            keys, own = all_keys(_numbers(batch, "fp").view(np.uint64))
             yield pa.RecordBatch.from_pydict({"key": keys, "fp": own.view(np.int64)})
 
     def to_links(batches):
@@ -179,10 +193,26 @@ def links(distinct: DataFrame) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    rows = numbers.mapInArrow(to_rows, "key long, fp long")
+    rows = distinct.select("fp").mapInArrow(to_rows, "key long, fp long")
+    hot = materialise(hot_buckets(distinct), "simhash-hot")
+    if hot.limit(1).count():
+        rows = dealt(rows, hot, F.xxhash64("fp"), KEY_BITS)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(to_links, "a long, b long")
 
 
+def dealt(rows: DataFrame, hot: DataFrame, spread: Column, key_bits: int) -> DataFrame:
+    """rows (key, ...) in which those of a hot key (key, blocks) stand once for each pair of blocks that has theirs.
+
+    Blocks are dealt by the hash ``spread``; the pair's number, from 1 on, goes above the key's bits.
+    """
+    own = rows.columns
+    met = rows.join(hot, "key", "left").withColumn("_block", F.pmod(spread, F.coalesce("blocks", F.lit(1))))
+    met = met.withColumn("_other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    high = F.greatest("_block", "_other")
+    pair = F.when(F.col("_other") < 0, F.lit(0).cast("long")).otherwise(1 + F.floor(high * (high + 1) / 2) + F.least("_block", "_other"))
+    return met.withColumn("key", F.col("key").bitwiseOR(F.shiftleft(pair, key_bits))).select(*own)
+
+
 def near_duplicates(docs: DataFrame, **kinds) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: fingerprints link at MAX_BITS differing bits or fewer.
 
@@ -195,7 +225,8 @@ def near_duplicates(docs: DataFrame, **kinds) -> DataFrame:
     linked = components(links(classes))
     named = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = materialise(named, "simhash-named")
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written, so that Spark can split the partition of a giant component in the join.
+    smallest = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-smallest")
     of_print = named.join(smallest, "component").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
