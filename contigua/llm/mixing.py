@@ -2,8 +2,12 @@
 
 A document's key is -ln(u) / weight, u from the md5 of its id: the smallest keys of a source are a sample without
 replacement in proportion to weight. Whole epochs of a source come first; of the rest of its target, documents are
-taken by rising key until the words run out. The running sum over a source, which may hold a third of all rows, is
-taken in two steps: sums of key buckets, then running sums within a bucket.
+taken by rising key until the words run out.
+
+Where they run out is one place in the order of a source, its border. It is found from sums of narrow ranges of the
+key (cells, the same share of a key's size everywhere, so that none has more than some 4,000th of a source whatever
+the weights), then from sums of equal rows in the border's cell, then by counting among the equal rows at the border
+itself. Every document compares itself with its source's border: neither texts nor rows are sorted or shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +19,8 @@ from .common import WORD_PATTERN, materialise
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-KEY_BUCKETS = 1024
+#: Cells for each doubling of the key.
+CELLS = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -48,53 +53,113 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return filled.select("_src", "_none", "source_size", F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, *, keep: list[str] | None = None, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Rows of docs (doc_id, text, source) with size, source_size, target, copies and taken (= copies * size).
+_SOURCE = ["_src", "_none"]
+_ORDER = ["_key", "_id", "size", "_tie"]
 
-    keep: the columns of docs to carry along, doc_id alone by default. Null or wordless texts have size 0; a source
-    without any word has target 0 and its documents one copy each. Null ids share one key; equal keys go by id, then
-    size, so that repeated rows stand together and any order among equal rows gives the same result. The document at
-    the border is taken if at least half of it is within the budget. An empty table gives no rows.
-    """
-    keep = keep or ["doc_id"]
-    text = F.col("text")
+
+def _sized(docs: DataFrame, keep: list[str], weight: Column | None) -> DataFrame:
+    """A row for each of docs: what is kept, its source, and its place in the source's order."""
     sized = docs.select(
         *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)],
         F.col("doc_id").alias("_id"),
         F.coalesce("source", F.lit("")).alias("_src"),
         F.col("source").isNull().alias("_none"),
-        n_words(text).alias("size"),
-        *([] if weight is None else [weight.alias("_weight")]),
-        *([F.col("text").alias("_text")] if weight is None else []),
+        n_words(F.col("text")).alias("size"),
+        F.xxhash64("text").alias("_tie"),
+        F.monotonically_increasing_id().alias("_row"),
+        (F.lit(None) if weight is None else weight).cast("double").alias("_weight"),
+        F.col("text").alias("_text"),
     )
-    if weight is None:
-        sized = sized.withColumn("_weight", plausible_words(F.col("_text"), F.col("size"))).drop("_text")
+    chosen = plausible_words(F.col("_text"), F.col("size")) if weight is None else F.col("_weight")
     digits = F.conv(F.substring(F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
-    sized = sized.withColumn("_key", -F.ln((digits + 0.5) / F.lit(float(1 << 48))) / F.col("_weight"))
-    sized = sized.withColumn("_bucket", F.least(F.floor((1 - F.exp(-F.col("_key"))) * KEY_BUCKETS), F.lit(KEY_BUCKETS - 1)).cast("int")).drop("_weight")
-    if keep == ["doc_id"]:
-        sized = materialise(sized, "mix-sizes")
-    by = ["_src", "_none", "_bucket"]
-    sums = materialise(sized.groupBy(*by).agg(F.sum("size").alias("_sum")), "mix-buckets")
-    targets = source_targets(sums.groupBy("_src", "_none").agg(F.sum("_sum").alias("source_size")), weights, share, max_epochs)
-    first = F.sum("_sum").over(Window.partitionBy("_src", "_none").orderBy("_bucket")) - F.col("_sum")
-    starts = sums.withColumn("_first", first).drop("_sum").join(targets, ["_src", "_none"])
-    inside = Window.partitionBy(*by).orderBy("_key", F.col("_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.join(starts, by).withColumn("_before", F.col("_first") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    sized = sized.withColumn("_key", -F.ln((digits + 0.5) / F.lit(float(1 << 48))) / chosen).drop("_weight", "_text")
+    return sized.withColumn("_cell", F.floor(F.log2("_key") * CELLS))
+
+
+def _place(prefix: str = "") -> Column:
+    """What the order within a source goes by: key, id (null first), size, text."""
+    c = lambda name: F.col(prefix + name)
+    return F.struct(c("_key").alias("k"), c("_id").isNotNull().alias("some"), F.coalesce(c("_id"), F.lit(0)).alias("id"), c("size").alias("size"), c("_tie").alias("tie"))
+
+
+def borders(numbers: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(_src, _none, source_size, target, epochs, b_*): a row for each source of numbers, the rows of _sized().
+
+    Rows before the border (b_cell, b_place) are taken once more than epochs; of those equal to it the ones with row
+    numbers up to b_row, which is null if there are none. b_place is null where all of the cell are taken.
+    """
+    cells = materialise(numbers.groupBy(*_SOURCE, "_cell").agg(F.sum("size").alias("_sum")), "mix-cells")
+    targets = source_targets(cells.groupBy(*_SOURCE).agg(F.sum("_sum").alias("source_size")), weights, share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
-    rest = F.col("target") - epochs * F.col("source_size")
-    more = ((2 * F.col("_before") + F.col("size")) <= 2 * rest) & (F.col("source_size") > 0)
-    copies = F.least(epochs + more.cast("int"), F.lit(max_epochs)).cast("long")
-    return placed.withColumn("copies", copies).select(
+    targets = targets.withColumn("epochs", epochs).withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    targets = materialise(targets, "mix-targets")
+    # A source has no more cells than its keys have doublings, a thousand times.
+    upto = cells.withColumn("_upto", F.sum("_sum").over(Window.partitionBy(*_SOURCE).orderBy("_cell"))).join(targets, _SOURCE)
+    border = upto.where(F.col("_upto") > F.col("_rest")).groupBy(*_SOURCE).agg(F.min_by(F.struct(F.col("_cell").alias("cell"), (F.col("_upto") - F.col("_sum")).alias("first")), "_cell").alias("b"))
+    border = materialise(targets.join(border, _SOURCE, "left"), "mix-border-cells")
+    inside = border.select(*_SOURCE, "_rest", F.col("b.cell").alias("_cell"), F.col("b.first").alias("_first"))
+    groups = numbers.join(inside, [*_SOURCE, "_cell"]).groupBy(*_SOURCE, "_cell", "_rest", "_first", *_ORDER).agg(F.count("*").alias("_n"))
+    before = F.sum(F.col("_n") * F.col("size")).over(Window.partitionBy(*_SOURCE).orderBy(_place()).rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.withColumn("_before", F.col("_first") + F.coalesce(before, F.lit(0)))
+    fits = (2 * F.col("_before") + F.col("size")) <= 2 * F.col("_rest")
+    several = F.floor((2 * F.col("_rest") - 2 * F.col("_before") - F.col("size")) / F.greatest(2 * F.col("size"), F.lit(1))) + 1
+    taken = F.when(~fits, F.lit(0)).when((F.col("_n") == 1) | (F.col("size") == 0), F.col("_n")).otherwise(F.least(several, F.col("_n")))
+    first = groups.withColumn("_m", taken.cast("long")).where(F.col("_m") < F.col("_n"))
+    first = first.withColumn("_p", _place()).groupBy(*_SOURCE).agg(F.min_by(F.struct("_p", "_m"), "_p").alias("g"))
+    found = border.join(first, _SOURCE, "left")
+    found = found.select(*_SOURCE, "source_size", "target", "epochs", F.col("b.cell").alias("b_cell"), F.col("g._p").alias("b_place"), F.col("g._m").alias("_m"))
+    found = materialise(found, "mix-borders")
+    if not found.where("_m > 0").limit(1).count():
+        return found.drop("_m").withColumn("b_row", F.lit(None).cast("long"))
+    # Equal rows at a border are counted off in the order of their row numbers, one part of the table at a time.
+    part = F.shiftright("_row", 33)
+    equal = numbers.join(found.where("_m > 0").select(*_SOURCE, F.col("b_cell").alias("_cell"), "b_place", "_m"), [*_SOURCE, "_cell"])
+    equal = materialise(equal.where(_place() == F.col("b_place")).select(*_SOURCE, "_m", "_row", part.alias("_part")), "mix-equal")
+    parts = equal.groupBy(*_SOURCE, "_part").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_first", F.sum("_n").over(Window.partitionBy(*_SOURCE).orderBy("_part")) - F.col("_n")).drop("_n")
+    number = F.row_number().over(Window.partitionBy(*_SOURCE, "_part").orderBy("_row"))
+    last = equal.withColumn("_in", number).join(parts, [*_SOURCE, "_part"]).where(F.col("_first") + F.col("_in") == F.col("_m"))
+    last = last.select(*_SOURCE, F.col("_row").alias("b_row"))
+    return materialise(found.drop("_m").join(last, _SOURCE, "left"), "mix-borders")
+
+
+def mix(docs: DataFrame, *, keep: list[str] | None = None, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Rows of docs (doc_id, text, source) with size, source_size, target, copies and taken (= copies * size).
+
+    keep: the columns of docs to carry along, doc_id alone by default. Null or wordless texts have size 0; a source
+    without any word has target 0 and its documents one copy each. Null ids share one key; equal keys go by id, then
+    size, then text, and rows equal in all of these as they stand in docs. The document at the border is taken if at
+    least half of it is within the budget. An empty table gives no rows; texts of any length are counted whole.
+    docs is read twice if more is kept than ids: it should be a table, whose rows come in the same order again.
+    """
+    keep = keep or ["doc_id"]
+    placed = _sized(docs, keep, weight)
+    numbers = [*_SOURCE, *_ORDER, "_row", "_cell"]
+    if keep == ["doc_id"]:
+        placed = materialise(placed, "mix-sizes")
+        held = placed.select(*numbers)
+    else:
+        held = materialise(placed.select(*numbers), "mix-sizes")
+    met = placed.join(borders(held, weights, share, max_epochs), _SOURCE)
+    own = _place()
+    inside = F.col("b_place").isNull() | (own < F.col("b_place")) | ((own == F.col("b_place")) & F.coalesce(F.col("_row") <= F.col("b_row"), F.lit(False)))
+    more = F.when(F.col("b_cell").isNull() | (F.col("_cell") < F.col("b_cell")), F.lit(True)).otherwise((F.col("_cell") == F.col("b_cell")) & inside)
+    copies = F.least(F.col("epochs") + (more & (F.col("source_size") > 0)).cast("int"), F.lit(max_epochs)).cast("long")
+    return met.withColumn("copies", copies).select(
         *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
 
 
 def mixed_documents(docs: DataFrame, **kinds) -> DataFrame:
-    """docs, each row as often as the mix takes it; its columns alone, whatever they are called."""
+    """docs, each row as often as the mix takes it; its columns alone, whatever they are called.
+
+    Nulls, repeated rows, ties and empty tables as in mix(); copies of a row stand beside one another.
+    """
     mixed = mix(docs, keep=docs.columns, **kinds)
     names = [f"k_{i}" for i in range(len(docs.columns))]
-    return mixed.toDF(*names, "size", "source_size", "target", "taken", "copies").where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    several = mixed.toDF(*names, "size", "source_size", "target", "taken", "copies").where("copies > 0")
+    several = several.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return several.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 ORACLE = r"""
