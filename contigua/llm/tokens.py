@@ -9,7 +9,8 @@ import regex
 from tokenizers import Tokenizer
 
 END_ID = 1
-CACHE_WORDS = 500_000
+#: What the caches of a worker hold at most, keys, values and places in the table together: long words don't stay.
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 110 << 20, 140, 64
 
 #: White space as the tokenizer's normaliser has it; str.split() takes four control characters more.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -33,13 +34,14 @@ class _Pieces(dict):
 
     def __init__(self, model) -> None:
         super().__init__()
+        self.room = CACHE_BYTES // 2 // ENTRY_BYTES
         self.tokenize = model.tokenize
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
 
     def __missing__(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
         ids = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
-        if len(self) < CACHE_WORDS:
+        if len(self) < self.room and len(piece) <= LONGEST:
             self[piece] = ids
         return ids
 
@@ -53,6 +55,7 @@ class WordTokenizer(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.room = CACHE_BYTES // 2 // ENTRY_BYTES
         self.library = Tokenizer.from_file(path)
         probe = self.library.encode("ab c", add_special_tokens=False).ids
         apart = [i for w in ("ab", "c") for i in self.library.encode(w, add_special_tokens=False).ids]
@@ -75,7 +78,7 @@ class WordTokenizer(dict):
                 ids = b"".join(map(piece, self.split(low)))
         else:
             ids = array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) < CACHE_WORDS:
+        if len(self) < self.room and len(word) <= LONGEST:
             self[word] = ids
         return ids
 
