@@ -2,7 +2,7 @@
 
 Every block-level node gets a density: characters per tag, scaled by a logarithm that shrinks where characters are
 link characters. The node with the greatest sum of child densities is the core of the article; the least density on
-the path from the body to it is the threshold for what else belongs to the text, on every page; a declared article or
+the path to it below the body is the threshold for what else belongs to the text, on every page; a declared article or
 main lets thinner text pass that isn't mostly links. What a page declares to be menu, header, footer, sidebar, notice,
 advert, form or comment is left out before densities are taken; where only the words of a class or id say so, an
 element that holds the densest text of the page stays.
@@ -13,14 +13,18 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mfenced mspace semantics svg g text tspan".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes template annotation annotation-xml desc metadata".split())
 LEFT_OUT = frozenset("nav footer aside form button select dialog menu head object video audio canvas applet".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 LEFT_OUT_WORDS = frozenset(
@@ -28,13 +32,16 @@ LEFT_OUT_WORDS = frozenset(
     "sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice popup modal newsletter subscribe share sharing "
     "social related recommended recommendations widget toolbar pagination pager login signup masthead".split()
 )
+#: Parts of a compound name that say that the rest isn't so.
+DENIALS = frozenset("no not non has have with without hide hidden free".split())
 ARTICLES = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: A start tag that ends an open element of the other names, up to the nearest of the last names.
 LISTS = frozenset("ul ol dl menu".split())
 CLOSES = {"li": (frozenset(("li",)), LISTS), "dt": (frozenset(("dt", "dd")), LISTS), "dd": (frozenset(("dt", "dd")), LISTS), "tr": (frozenset(("tr", "td", "th")), frozenset(("table",))), "td": (frozenset(("td", "th")), frozenset(("table", "tr"))), "th": (frozenset(("td", "th")), frozenset(("table", "tr"))), "option": (frozenset(("option",)), frozenset(("select",)))}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<""", re.S)
+#: Quotes part values only right behind an equals sign.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<""", re.S)
 #: One attribute, name and value: what stands in the value of another or ends a longer name is none.
 ATTRIBUTE = re.compile(r"""([^\s=/>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 #: Less text than this isn't the main text of an element whose class says otherwise.
@@ -56,7 +63,7 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> int:
         if name == "role" and value in LEFT_OUT_ROLES and tag not in ARTICLES:
             return GONE
         if name in ("class", "id") and tag not in ARTICLES:
-            words = re.findall("[a-z]+", value)
+            words = [w for part in value.split() if DENIALS.isdisjoint(found := re.findall("[a-z]+", part)) for w in found]
             if LEFT_OUT_WORDS.intersection(words) or (name == "id" and value == "header"):
                 said = BY_WORD
     return said
@@ -75,6 +82,8 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack = [0]
+        #: How many elements of each name are open.
+        held: Counter = Counter()
         pieces: list[str] = []
         link_pieces: list[str] = []
         links = articles = 0
@@ -97,7 +106,9 @@ class Page:
         def pop() -> None:
             nonlocal articles
             flush()
-            articles -= self.tag[stack.pop()] in ARTICLES
+            name = self.tag[stack.pop()]
+            held[name] -= 1
+            articles -= name in ARTICLES
 
         while at < size:
             m = TOKEN.match(source, at)
@@ -119,10 +130,10 @@ class Page:
                     links = 0
                 elif tag in INLINE:
                     pass
-                elif tag == "p" and not any(self.tag[n] == "p" for n in stack):
+                elif tag == "p" and not held["p"]:
                     muted = ""
                     flush()
-                elif any(self.tag[n] == tag for n in stack):
+                elif held[tag] > 0:
                     muted = ""
                     while self.tag[stack[-1]] != tag:
                         pop()
@@ -154,11 +165,11 @@ class Page:
                     muted, depth = tag, 1
                 continue
             muted = ""
-            if tag != "hr" and any(self.tag[n] == "p" for n in stack[-4:]):
+            if tag != "hr" and held["p"] and any(self.tag[n] == "p" for n in stack[-4:]):
                 while self.tag[stack[-1]] != "p":
                     pop()
                 pop()
-            if tag in CLOSES:
+            if tag in CLOSES and any(held[name] for name in CLOSES[tag][0]):
                 own, scope = CLOSES[tag]
                 k = len(stack) - 1
                 while k > 0 and self.tag[stack[k]] not in scope and self.tag[stack[k]] not in own:
@@ -177,6 +188,7 @@ class Page:
             for counts in (self.tags, self.link_tags, self.chars, self.link_chars):
                 counts.append(0)
             stack.append(len(self.tag) - 1)
+            held[tag] += 1
             articles += tag in ARTICLES
         flush()
 
@@ -246,7 +258,8 @@ class Page:
             path.append(self.parent[path[-1]])
         # The whole core, and beside the path to it what is as dense as the thinnest node of the path. That an article is
         # declared is only a prior: text in it that is thinner stays if less than half of it is links.
-        threshold = min(density[n] for n in path)
+        below_body = [n for n in path if self.tag[n] not in ("#root", "html", "body")]
+        threshold = min(density[n] for n in below_body or path)
         on_path = set(path)
         declared = [False] * len(self.tag)
         for node in range(1, len(self.tag)):
@@ -281,7 +294,11 @@ def main_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; null and empty html give an empty text; other columns are not read."""
+    """(page_id, url, text, n_chars) of every row; null and empty html give an empty text; other columns are not read.
+
+    Repeated rows are extracted alike, an empty table gives no rows, and pages of any length are read whole, in time that
+    follows their length however their elements are nested.
+    """
 
     def run(batches):
         for batch in batches:

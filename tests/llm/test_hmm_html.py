@@ -165,7 +165,8 @@ def test_density_overrules_class_words(name, wrap):
     want = "\n".join(prose(i, 30) for i in range(4))
     comments = f'<div id="comments"><p>{prose(9, 20)}</p></div>'
     assert main_text(f'<div class="ad">Buy this.</div><div class="{name}">{wrap.format(body)}{comments}</div>') == want
-    assert main_text(f'<article>{body}</article><div class="{name}"><p>{prose(8, 300)}</p></div>') == want
+    if "has-" not in name:  # a wrapper that has a sidebar is none itself
+        assert main_text(f'<article>{body}</article><div class="{name}"><p>{prose(8, 300)}</p></div>') == want
 
 
 def paragraphs(*seeds):
@@ -182,3 +183,113 @@ def test_density_selects_within_a_declared_article():
     html, want = paragraphs(0, 1, 2)
     teasers = "".join(f"<div><a href=/{i}>{prose(i, 6)}</a></div>" for i in range(12))
     assert main_text(f"<body><main><div>{teasers}</div><div>{html}</div><p>Short.</p></main></body>").split("\n") == [*want, "Short."]
+
+
+def test_quotes_in_unquoted_values_and_formulas():
+    assert main_text("<p class=it's>Hello world</p><p>Don't stop</p>") == "Hello world\nDon't stop"
+    assert main_text('<p title="a > b">One</p><p data-x="y>z" class=\'q\'>two</p>') == "One\ntwo"
+    assert main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p><svg><title>t</title><text>label</text></svg></p></article>") == "So x=2 holds.\nlabel"
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "post ad-free", "entry widget-free", "without-comments"])
+def test_names_that_deny(name):
+    assert main_text(f'<div class="{name}"><p>Few words.</p></div>') == "Few words."
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        main_text("<div>" * n + "x" + "</section>" * n + "<li>" * n + "</td>" * n)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16000) < 16 * max(seconds(4000), 0.01)
+
+
+def densities_by_recursion(source):
+    """Density and child sum by tag of tree nodes, from the definition: a plain tree, counts taken anew for each node."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.at = {"tag": "#root", "up": None, "kids": [], "chars": 0, "linked": 0, "tags": 0, "links": 0}
+            self.in_link = False
+
+        def handle_starttag(self, tag, attrs):
+            self.at["tags"] += 1
+            if tag == "a":
+                self.at["links"] += 1
+                self.in_link = True
+                return
+            node = {"tag": tag, "up": self.at, "kids": [], "chars": 0, "linked": 0, "tags": 0, "links": 0}
+            self.at["kids"].append(node)
+            self.at = node
+
+        def handle_endtag(self, tag):
+            if tag == "a":
+                self.in_link = False
+            else:
+                self.at = self.at["up"]
+
+        def handle_data(self, data):
+            self.at["chars"] += len(data)
+            self.at["linked"] += len(data) * self.in_link
+
+    tree = Tree()
+    tree.feed(source)
+    total = lambda n, k: n[k] + sum(total(c, k) for c in n["kids"])
+    share = total(tree.root, "linked") / max(1, total(tree.root, "chars"))
+    out = []
+
+    def density(n):
+        c, t, lc, lt = (total(n, k) for k in ("chars", "tags", "linked", "links"))
+        if not c:
+            return 0.0
+        return c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1) + 1) / max(math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e)), 1e-6)
+
+    def visit(n):
+        out.append((n["tag"], density(n), sum(density(c) for c in n["kids"])))
+        for c in n["kids"]:
+            visit(c)
+
+    visit(tree.root)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_densities_equal_their_definition(seed):
+    rng = np.random.default_rng(seed)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) for _ in range(rng.integers(1, 4))) if depth else f"{prose(int(rng.integers(99)), int(rng.integers(1, 30)))}"
+        link = f"<a>{prose(int(rng.integers(99)), 2)}</a>" if not depth and rng.random() < 0.4 else ""
+        name = "section" if depth else "p"
+        return f"<{name}>{kids}{link}</{name}>"
+
+    from contigua.llm.html_text import Page
+
+    source = tree(3)
+    page = Page(source)
+    density, sums = page.densities()
+    want = densities_by_recursion(source)
+    assert page.tag == [w[0] for w in want]
+    assert np.allclose(density, [w[1] for w in want]) and np.allclose(sums, [w[2] for w in want])
+
+
+def test_density_alone_finds_the_articles_of_the_test_pages():
+    """With article made a div and no class names left, nineteen of twenty pages give the same text, by density alone."""
+    import re
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    path = Path("/root/testdata/sf0.01/pages.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    pages = [h for h in pq.read_table(path).column("html").to_pylist() if h]
+    plain = [re.sub(r' (class|id)="[^"]*"', "", re.sub(r"<(/?)(article|main)\b", r"<\1div", h)) for h in pages]
+    same = sum(main_text(a) == main_text(b) for a, b in zip(pages, plain, strict=True))
+    assert same >= 0.95 * len(pages)
