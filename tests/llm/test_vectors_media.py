@@ -91,35 +91,100 @@ def test_image_codec():
     assert all(media.decode(x) is None for x in (None, b"", b"GIF89a", b"P5 2 2 255\n\x01", b"P5 a b 255\n", b"P5 2", b"P5 2 2 65535\n" + b"0" * 8))
 
 
-def test_places_survive_packing(spark):
-    where = np.array([[1.25, 700.5, 1.0, 2.0], [0.0, 3.0, -2.5, 0.0]])
-    frame = spark.createDataFrame([(int(x),) for x in media._packed(where)], "at long")
-    got = frame.select(*[c.alias(n) for n, c in media._unpacked("at").items()]).collect()
-    for r, (x, y, t, s) in zip(got, where, strict=True):
-        assert (r.x, r.y, r.scale) == (x, y, s) and abs(math.remainder(r.turn - t, 2 * math.pi)) < 0.001
-
-
-def pairs_by_brute_force(queries, images):
-    """Pairs with enough corners whose tests agree, compared all with all."""
-    out = set()
-    for q, a in queries:
-        _, x = media.describe(media.decode(a))
-        for i, b in images:
-            _, y = media.describe(media.decode(b))
-            apart = np.unpackbits(x[:, None] ^ y[None], axis=2).sum(axis=2) if len(x) and len(y) else np.full((1, 1), 99)
-            if (apart.min(axis=1) <= media.MAX_BITS).sum() >= 3 * media.MIN_VOTES // 2:
-                out.add((q, i))
-    return out
+def test_places_survive_packing():
+    where = np.array([[1.25, 700.5, 1.0, media.STEP**2], [0.0, 3.0, -2.5, 1.0]])
+    for (x, y, turn, scale), want in zip(media._unpacked(media._packed(where)).tolist(), where.tolist(), strict=True):
+        assert (x, y) == tuple(want[:2]) and math.isclose(scale, want[3]) and abs(math.remainder(turn - want[2], 2 * math.pi)) < 0.001
+
+
+def test_nearest_corners_equal_brute_force():
+    rng = np.random.default_rng(2)
+    xs, ys = rng.integers(0, 90, 200), rng.integers(0, 90, 200)
+    near = media._nearest(xs, ys)
+    d = (xs[:, None] - xs[None]) ** 2 + (ys[:, None] - ys[None]) ** 2 + np.where(np.eye(200, dtype=bool), 10**6, 0)
+    for i in range(200):
+        want = [x for x in sorted(d[i].tolist())[: media.NEIGHBOURS] if x <= media.SIGHT**2]
+        assert [d[i, j] for j in near[i] if j >= 0] == want
+
+
+def agreeing(queries, images):
+    """Pairs whose corners agree on a similarity, compared all with all, without tables."""
+    at = [(i, media.describe(media.decode(b))) for i, b in images]
+    return {(q, i) for q, a in queries for x in [media.describe(media.decode(a))] for i, y in at if media.agreement(*x[:2], *y[:2])[0] >= media.MIN_VOTES}
+
+
+KIND = "media_id long, image binary"
 
 
 def test_copies_equal_brute_force(spark):
     images = [(i, media.encode(media.draw(i))) for i in range(24)]
-    queries = [(100 + i, media.encode(media.edited(media.draw(i), i % 4))) for i in range(0, 24, 2)] + [(300, media.encode(media.draw(77)))]
-    kind = "media_id long, image binary"
-    got = media.copies(spark.createDataFrame(queries, kind), spark.createDataFrame(images, kind)).collect()
-    assert {(r.query_id, r.media_id) for r in got} == pairs_by_brute_force(queries, images) == {(100 + i, i) for i in range(0, 24, 2)}
-    quarter = [r for r in got if (r.query_id - 100) % 4 == 1]
-    assert all(r.turn % 4 == 0 for r in quarter) and all(r.scale == 0 for r in got)
+    queries = [(100 + i, media.encode(media.edited(media.draw(i), i // 2 % 4))) for i in range(0, 24, 2)] + [(300, media.encode(media.draw(77)))]
+    got = media.copies(spark.createDataFrame(queries, KIND), spark.createDataFrame(images, KIND)).collect()
+    assert {(r.query_id, r.media_id) for r in got} == agreeing(queries, images) == {(100 + i, i) for i in range(0, 24, 2)}
+    for r in got:
+        turned = (r.query_id - 100) // 2 % 4 == 1
+        assert abs(r.scale - 1) < 0.02 and abs(math.remainder(r.turn - 90 * turned, 360)) < 1
+        assert turned or (abs(r.dx - 8) < 1 and abs(r.dy - 6) < 1)
+
+
+EDITS = {"resized by 0.75": (80, 0.75, 0), "by 0.9": (80, 0.9, 0), "by 1.25": (80, 1.25, 0), "by 0.67": (160, 0.67, 0), "turned by 10": (80, 1, 10), "by 22.5": (80, 1, 22.5), "by 45": (80, 1, 45), "by 80": (80, 1, 80), "both": (160, 0.8, 33)}
+
+
+def test_recall_of_resized_and_turned_copies(spark):
+    """All of these in one search: at least nine of ten copies of each kind are found, with their turn and scale, and no others."""
+    small = [media.draw(i) for i in range(24)]
+    large = [np.block([[media.draw(1000 + 4 * i + 2 * r + c) for c in range(2)] for r in range(2)]) for i in range(24)]
+    images = [(i, media.encode(g)) for i, g in enumerate(small)] + [(100 + i, media.encode(g)) for i, g in enumerate(large)]
+    asked, want = [], {}
+    for k, (name, (side, scale, turn)) in enumerate(EDITS.items()):
+        for i in range(24):
+            grey = small[i] if side == 80 else large[i]
+            asked.append((1000 * k + i, media.encode(media.warped(grey, scale, turn))))
+            want[1000 * k + i] = (name, i + 100 * (side > 80), scale, turn)
+    got = media.copies(spark.createDataFrame(asked, KIND), spark.createDataFrame(images, KIND)).collect()
+    found = {n: 0 for n in EDITS}
+    for r in got:
+        name, image, scale, turn = want[r.query_id]
+        assert r.media_id == image and abs(r.scale * scale - 1) < 0.05 and abs(math.remainder(r.turn + turn, 360)) < 4
+        found[name] += 1
+    assert all(n >= 0.9 * 24 for n in found.values()), found
+
+
+def test_same_bytes_without_corners(spark):
+    flat, tiny = media.encode(np.full((40, 40), 9.0)), media.encode(np.full((2, 2), 1.0))
+    images = spark.createDataFrame([(3, flat), (2, flat), (5, tiny), (6, None)], KIND)
+    got = media.copies(spark.createDataFrame([(1, flat), (2, tiny), (3, None), (4, b"x")], KIND), images).collect()
+    assert sorted((r.query_id, r.media_id, r.n_copies, r.votes) for r in got) == [(1, 2, 2, 0), (2, 5, 1, 0)]
+
+
+def png(grey, filters, colour=0):
+    """A PNG file whose lines have the filters in turn."""
+    import struct
+    import zlib
+
+    samples = {0: 1, 2: 3}[colour]
+    lines = np.repeat(grey.astype(int)[:, :, None], samples, axis=2).reshape(len(grey), -1)
+    out, above = b"", np.zeros(lines.shape[1], int)
+    for y, line in enumerate(lines):
+        kind = filters[y % len(filters)]
+        left = np.concatenate((np.zeros(samples, int), line[:-samples]))
+        corner = np.concatenate((np.zeros(samples, int), above[:-samples]))
+        a, b, c = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+        guess = [0 * line, left, above, (left + above) // 2, paeth][kind]
+        out += bytes([kind]) + ((line - guess) % 256).astype(np.uint8).tobytes()
+        above = line
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    head = struct.pack(">IIBBBBB", grey.shape[1], grey.shape[0], 8, colour, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("colour", [0, 2])
+def test_png(colour):
+    grey = np.rint(media.draw(2))
+    raw = png(grey, [0, 1, 2, 3, 4], colour)
+    assert np.allclose(media.decode(raw), grey)
+    assert media.decode(raw[:60]) is None and media.decode(raw[:40]) is None and media.decode(raw[:8]) is None
 
 
 def test_media_edges(spark):
