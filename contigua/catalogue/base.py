@@ -101,31 +101,36 @@ raw as (
 _VARIED = """
 varied as (select read_idx, name, substr(seq, 1, cast(100 - 15 * (read_idx % 3) as int)) seq, substr(quality, 1, cast(100 - 15 * (read_idx % 3) as int)) quality, barcode from reads)"""
 _UNIQUE = f"""
-uread as (select arg_min(seq, name) seq, min(name) as name, count(*) coverage from reads group by least(seq, {rc('seq')})),
-bars as (select u.name, b.bx, b.n from (select least(seq, {rc('seq')}) c, barcode bx, count(*) n from reads group by all) b join uread u on b.c = least(u.seq, {rc('u.seq')}))"""
+uread as materialized (select arg_min(seq, name) seq, min(name) as name, count(*) coverage from reads group by least(seq, {rc('seq')})),
+bars as materialized (select u.name, b.bx, b.n from (select least(seq, {rc('seq')}) c, barcode bx, count(*) n from reads group by all) b join uread u on b.c = least(u.seq, {rc('u.seq')}))"""
 _OVERLAPS = f"""
-ori as (select name, false rc, seq from uread union all select name, true, {rc('seq')} from uread),
+ori as materialized (select name, false rc, seq from uread union all select name, true, {rc('seq')} from uread),
 pl as (select name q, rc q_rc, seq, unnest(range(2, length(seq) - {MIN_OVERLAP} + 2)) p from ori),
-ov as (
+ov as materialized (
   select q, q_rc, o.name t, o.rc t_rc, max(length(pl.seq) - p + 1) length
   from pl join ori o on substr(pl.seq, p, {MIN_OVERLAP}) = substr(o.seq, 1, {MIN_OVERLAP})
   where pl.q <> o.name and starts_with(o.seq, substr(pl.seq, p)) and length(pl.seq) - p + 1 < length(o.seq) group by all)"""
 _REDUCED = """
-ext as (select ov.*, substr(ori.seq, cast(length + 1 as int)) ext from ov join ori on t = name and t_rc = rc),
-irr as (select * from ext a where not exists (select 1 from ext b where a.q = b.q and a.q_rc = b.q_rc and b.length > a.length and starts_with(a.ext, b.ext)))"""
+ext as materialized (select ov.*, substr(ori.seq, cast(length + 1 as int)) ext from ov join ori on t = name and t_rc = rc),
+there as materialized (select q, q_rc, ext start, max(length) longer from ext group by all),
+sizes as materialized (select distinct q, q_rc, length(ext) n from ext),
+gone as materialized (
+  select distinct a.q, a.q_rc, a.t, a.t_rc from ext a join sizes z on z.q = a.q and z.q_rc = a.q_rc and n <= length(a.ext)
+  join there h on h.q = a.q and h.q_rc = a.q_rc and h.start = left(a.ext, n) and h.longer > a.length),
+irr as (select * from ext anti join gone using (q, q_rc, t, t_rc))"""
 _EDGES = """
-ed as (
+ed as materialized (
   select q id0, t id1, case when q_rc then 0 else l0 - length end s0, case when q_rc then length - 1 else l0 - 1 end e0, l0,
          case when t_rc then l1 - length else 0 end s1, case when t_rc then l1 - 1 else length - 1 end e1, l1,
          cast(q_rc <> t_rc as bigint) is_rc, cast(0 as bigint) num_diff
   from (select irr.*, length(a.seq) l0, length(b.seq) l1 from irr join uread a on q = a.name join uread b on t = b.name) where q > t)"""
 _GRAPH = """
-he as (
+he as materialized (
   select id0 || ' ' || id1 || ' ' || s0 || ' ' || s1 edge_key, 0 half, id0 src, id1 dst, case when s0 = 0 then 1 else 0 end dir,
          case when s1 = 0 then 1 else 0 end twin_dir, e0 - s0 + 1 overlap from ed
   union all
   select id0 || ' ' || id1 || ' ' || s0 || ' ' || s1, 1, id1, id0, case when s1 = 0 then 1 else 0 end, case when s0 = 0 then 1 else 0 end, e0 - s0 + 1 from ed),
-deg as (
+deg as materialized (
   select name id, length(seq) size, seq, coverage, coalesce(sum(case when dir = 0 then 1 end), 0)::bigint sense, coalesce(sum(case when dir = 1 then 1 end), 0)::bigint antisense
   from uread left join he on name = src group by all)"""
 _PARTS = {"reads": derived.SQL, "raw": _RAW, "varied": _VARIED, "unique": _UNIQUE, "overlaps": _OVERLAPS, "reduced": _REDUCED, "edges": _EDGES, "graph": _GRAPH}

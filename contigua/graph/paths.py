@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, scores
-from ..plans.storage import materialise
+from ..plans.storage import Rounds, materialise
 from .model import ANTISENSE, SENSE, Graph
 
 
@@ -124,15 +124,14 @@ def contig_statistics(sequences: DataFrame) -> DataFrame:
 def khop(graph: Graph, roots: DataFrame, hops: int) -> DataFrame:
     """(id, hop): vertices within so many edges of the roots (id), with the least number."""
     neighbours = graph.half_edges.select("src", "dst").distinct()
-    seen = materialise(roots.select("id", F.lit(0).alias("hop")).distinct(), "hop")
-    frontier = seen
+    seen = Rounds(roots.sparkSession, "hops")
+    frontier = seen.add(roots.select("id", F.lit(0).alias("hop")).distinct())
     for hop in range(1, hops + 1):
-        fresh = frontier.join(neighbours, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        frontier = materialise(fresh.select("id", F.lit(hop).alias("hop")), "hop")
+        fresh = frontier.join(neighbours, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        frontier = seen.add(fresh.join(seen.all().select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop")))
         if not frontier.limit(1).count():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    return seen.all()
 
 
 def subgraph(graph: Graph, roots: DataFrame, hops: int = 5) -> Graph:
@@ -143,32 +142,56 @@ def subgraph(graph: Graph, roots: DataFrame, hops: int = 5) -> Graph:
     return Graph(graph.vertices.join(near.select("id"), "id", "left_semi"), graph.half_edges.join(keys, "edge_key", "left_semi"))
 
 
-def walks(graph: Graph, roots: DataFrame, max_distance: int, *, first_dir: int | None = None) -> DataFrame:
+#: Steps that a round of walks takes from fewer places than that: a round costs more than their rows then.
+STRIDE, FEW = 4, 200_000
+
+
+def walks(graph: Graph, roots: DataFrame, max_distance: int, *, first_dir: int | None = None, max_nodes: int | None = None) -> DataFrame:
     """(root, id, distance, dir, comp): where walks from the roots (id) come, with signed distances up to the step beyond max_distance.
 
     A step along a sense edge adds what the source has before the overlap; along an antisense edge it takes away what
-    the target has before it. After an edge that changes strands the direction changes. Each place is told once.
+    the target has before it. After an edge that changes strands the direction changes. Each place is told once. With
+    max_nodes a root has no more places than that: the nearest, ties by id, direction and strand.
+
+    A round takes a step from all places that the round before found, or some steps where they are few; the places told
+    lie in one folder and are read as one table.
     """
     size = graph.vertices.select("id", F.length("seq").alias("size"))
     steps = graph.half_edges.join(size.select(F.col("id").alias("src"), F.col("size").alias("a")), "src").join(size.select(F.col("id").alias("dst"), F.col("size").alias("b")), "dst")
     reverse = (F.col("dir") == F.col("twin_dir")).cast("int")
-    steps = materialise(steps.select("src", "dst", "dir", reverse.alias("rev"), F.when(F.col("dir") == SENSE, F.col("a") - F.col("overlap")).otherwise(F.col("overlap") - F.col("b")).cast("long").alias("step")), "steps")
+    length = F.when(F.col("dir") == SENSE, F.col("a") - F.col("overlap")).otherwise(F.col("b") - F.col("overlap"))
+    steps = materialise(steps.select("src", "dst", "dir", reverse.alias("rev"), length.cast("long").alias("step")).distinct(), "steps")
     dirs = [SENSE, ANTISENSE] if first_dir is None else [first_dir]
     # up: the direction, seen from the root, that the walk keeps; own: that in which the present vertex is left.
-    start = roots.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("distance"), F.explode(F.array(*map(F.lit, dirs))).alias("up")).withColumns({"own": F.col("up"), "comp": F.lit(0)})
-    frontier = materialise(start, "walk")
-    seen = frontier
+    start = roots.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("distance"), F.explode(F.array(*map(F.lit, dirs))).alias("up")).withColumn("own", F.col("up")).distinct()
     key = ["root", "id", "distance", "up", "own"]
-    while True:
-        moved = frontier.where(F.abs("distance") < max_distance).join(steps, (F.col("id") == F.col("src")) & (F.col("own") == F.col("dir")))
-        forward = F.abs("step")
-        fresh = moved.select("root", F.col("dst").alias("id"), (F.col("distance") + F.when(F.col("up") == SENSE, forward).otherwise(-forward)).alias("distance"), "up", F.when(F.col("rev") == 1, 1 - F.col("own")).otherwise(F.col("own")).alias("own"), (F.col("comp") + F.col("rev")) % 2)
-        fresh = fresh.toDF("root", "id", "distance", "up", "own", "comp").dropDuplicates(key).join(seen.select(*key), key, "left_anti")
-        frontier = materialise(fresh, "walk")
-        if not frontier.limit(1).count():
-            break
-        seen = seen.unionByName(frontier)
-    return seen.where("id <> root or distance <> 0").select("root", "id", "distance", F.col("up").alias("dir"), "comp")
+    seen = Rounds(roots.sparkSession, "walks")
+    frontier = seen.add(start.select(*key))
+
+    def onward(places: DataFrame) -> DataFrame:
+        moved = places.where(F.abs("distance") < max_distance).join(steps, (F.col("id") == F.col("src")) & (F.col("own") == F.col("dir")))
+        further = F.col("distance") + F.when(F.col("up") == SENSE, F.col("step")).otherwise(-F.col("step"))
+        turned = F.when(F.col("rev") == 1, 1 - F.col("own")).otherwise(F.col("own"))
+        return places.union(moved.select("root", F.col("dst").alias("id"), further, "up", turned)).distinct()
+
+    while n := frontier.count():
+        fresh = onward(frontier)
+        for _ in range(STRIDE - 1 if n < FEW else 0):
+            fresh = onward(fresh)
+        frontier = seen.add(fresh.join(seen.all(), key, "left_anti"))
+    found = seen.all().where("id <> root or distance <> 0").select("root", "id", "distance", F.col("up").alias("dir"), F.when(F.col("up") == F.col("own"), 0).otherwise(1).alias("comp"))
+    if max_nodes is None:
+        return found
+    nearest = Window.partitionBy("root").orderBy(F.abs("distance"), "id", "dir", "comp", "distance")
+    return found.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= max_nodes).drop("_n")
+
+
+def reaches(graph: Graph, pairs: DataFrame, max_distance: int, **kinds) -> DataFrame:
+    """(root, end, distance, dir, comp) of pairs (root, end) of which a walk from root meets end: the shortest, ties by direction and strand."""
+    met = walks(graph, pairs.select(F.col("root").alias("id")).distinct(), max_distance, **kinds).where(F.abs("distance") < max_distance)
+    found = met.join(pairs.select("root", F.col("end").alias("id")).distinct(), ["root", "id"])
+    best = found.groupBy("root", F.col("id").alias("end")).agg(F.min_by(F.struct("distance", "dir", "comp"), F.struct(F.abs("distance").alias("a"), "dir", "comp")).alias("x"))
+    return best.select("root", "end", "x.distance", "x.dir", "x.comp")
 
 
 def insert_sizes(graph: Graph, ranked: DataFrame | None = None) -> DataFrame:
