@@ -196,21 +196,22 @@ def links(distinct: DataFrame) -> DataFrame:
     rows = distinct.select("fp").mapInArrow(to_rows, "key long, fp long")
     hot = materialise(hot_buckets(distinct), "simhash-hot")
     if hot.limit(1).count():
-        rows = dealt(rows, hot, F.xxhash64("fp"), KEY_BITS)
+        rows = dealt(rows, hot, F.xxhash64("fp")).select(F.col("key").bitwiseOR(F.shiftleft("pair", KEY_BITS)).alias("key"), "fp")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(to_links, "a long, b long")
 
 
-def dealt(rows: DataFrame, hot: DataFrame, spread: Column, key_bits: int) -> DataFrame:
-    """rows (key, ...) in which those of a hot key (key, blocks) stand once for each pair of blocks that has theirs.
+def dealt(rows: DataFrame, hot: DataFrame, spread: Column) -> DataFrame:
+    """rows (key, ...) with block and pair; those of a hot key (key, blocks) stand once for each pair of blocks that has theirs.
 
-    Blocks are dealt by the hash ``spread``; the pair's number, from 1 on, goes above the key's bits.
+    Blocks are dealt by the hash ``spread``; pairs are numbered from 1 on, 0 for a bucket that isn't dealt.
     """
     own = rows.columns
-    met = rows.join(hot, "key", "left").withColumn("_block", F.pmod(spread, F.coalesce("blocks", F.lit(1))))
-    met = met.withColumn("_other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-    high = F.greatest("_block", "_other")
-    pair = F.when(F.col("_other") < 0, F.lit(0).cast("long")).otherwise(1 + F.floor(high * (high + 1) / 2) + F.least("_block", "_other"))
-    return met.withColumn("key", F.col("key").bitwiseOR(F.shiftleft(pair, key_bits))).select(*own)
+    met = rows.join(hot, "key", "left").withColumn("block", F.pmod(spread, F.coalesce("blocks", F.lit(1).cast("long"))))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = met.withColumn("_other", F.explode(others))
+    high = F.greatest("block", "_other")
+    pair = F.when(F.col("_other") < 0, F.lit(0)).otherwise(1 + F.floor(high * (high + 1) / 2) + F.least("block", "_other"))
+    return met.withColumn("pair", pair.cast("long")).select(*own, "block", "pair")
 
 
 def near_duplicates(docs: DataFrame, **kinds) -> DataFrame:

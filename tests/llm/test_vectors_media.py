@@ -46,25 +46,29 @@ def test_near_duplicate_vectors(spark, monkeypatch, hot):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize(("dims", "n"), [(1, 4000), (2, 4000), (3, 4000), (8, 4000), (24, 10**6), (64, 4000), (64, 10**6), (64, 10**9), (128, 4000)])
+def test_recall_at_the_threshold(dims, n):
+    """Pairs at cosine 0.9 exactly, the hardest there are, of vectors that weren't fitted on; n is that of a large table."""
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((4000, 64))
+    x = rng.standard_normal((8000, dims))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    codes = itq.Codes.fit(x)
+    codes = itq.Codes.fit(x[:4000], n)
+    x = x[4000:]
     across = rng.standard_normal(x.shape)
     across -= (across * x).sum(axis=1, keepdims=True) * x
-    across /= np.linalg.norm(across, axis=1, keepdims=True)
-    y = 0.9 * x + math.sqrt(1 - 0.81) * across
+    across /= np.maximum(np.linalg.norm(across, axis=1, keepdims=True), 1e-9)
+    y = x if dims == 1 else 0.9 * x + math.sqrt(1 - 0.81) * across
     a, b = codes.encode(x), codes.encode(y)
-    met = (codes.first_key(*a, *b) >= 0) & (np.bitwise_count(a[0] ^ b[0]) <= itq.MAX_SHARE * 64)
+    met = (codes.first_key(a, codes.mask(x), b, codes.mask(y)) >= 0) & (np.bitwise_count(a ^ b) <= codes.far)
     assert met.mean() >= 0.9
+    assert codes.width >= math.log2(n) - itq.CROWD
 
 
 def test_first_key_is_a_common_one_of_the_first_table():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 16))
     codes = itq.Codes.fit(x)
-    code, mask = codes.encode(x)
+    code, mask = codes.encode(x), codes.mask(x)
     keys, own = codes.keys(code, mask)
     filed = [set() for _ in x]
     for k, o in zip(keys.tolist(), own.tolist(), strict=True):
@@ -73,7 +77,8 @@ def test_first_key_is_a_common_one_of_the_first_table():
     first = codes.first_key(code[i], mask[i], code[j], mask[j])
     for a, b, f in zip(i.tolist(), j.tolist(), first.tolist(), strict=True):
         common = filed[a] & filed[b]
-        assert (f in common and f >> 32 == min(common) >> 32) if common else f == -1
+        table = itq.LONGEST_PART
+        assert (f in common and f >> table == min(common) >> table) if common else f == -1
 
 
 def test_vectors_edges(spark):
