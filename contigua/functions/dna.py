@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,31 +72,50 @@ def is_valid_quality(quality: Column | str) -> Column:
 
 def n_low_quality(quality: Column | str, low: int = LOW_PHRED) -> Column:
     """How many bases have phred <= low."""
-    chars = "".join("\\x%02X" % (33 + p) for p in range(low + 1))
-    return F.length(_col(quality)) - F.length(F.regexp_replace(_col(quality), f"[{chars}]", ""))
+    chars = "".join(chr(33 + p) for p in range(low + 1))
+    return F.length(_col(quality)) - F.length(F.translate(_col(quality), chars, ""))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column, nulls as empty; offsets has one more entry than the column."""
+    column = pa.compute.fill_null(column, "").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    held = column.buffers()[2]
+    raw = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _clip_lengths(column: pa.Array, least: int) -> pa.Array:
+    raw, offsets = _flat(column)
+    out = np.diff(offsets)
+    some = np.flatnonzero(out)
+    if len(some):
+        begin, end = offsets[some], offsets[some + 1]
+        lack = least + 33 - raw.astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(lack)))
+        # What is lacking from each base to the end of its read.
+        size = out[some]
+        sums = np.repeat(upto[end], size) - upto[:-1]
+        most = np.maximum.reduceat(sums, begin)
+        at = np.maximum.reduceat(np.where(sums == np.repeat(most, size), np.arange(len(sums)), -1), begin)
+        cut = np.where(most > 0, at - begin + 1, 0)
+        out[some] = np.where(raw[end - 1] >= least + 33, size, cut)
+    return pa.array(out, pa.int32())
 
 
 def soft_clip_length(quality: Column | str, least: int) -> Column:
     """Bases to keep: nothing is cut if the last base has phred >= least.
 
     Else sums of least - phred are taken from the 3' end, and the read ends with the base at which the sum is
-    greatest (the first such from the end), that base included; 0 if no sum is positive.
+    greatest (the first such from the end), that base included; 0 if no sum is positive. Whole batches of qualities are
+    taken at once, as bytes.
     """
-    q = phreds(quality)
-    n = F.size(q)
-    walked = F.aggregate(
-        F.reverse(q),
-        F.struct(F.lit(0).alias("sum"), F.lit(0).alias("most"), F.lit(0).alias("seen"), F.lit(0).alias("at")),
-        lambda a, p: F.struct(
-            (a["sum"] + least - p).alias("sum"),
-            F.greatest(a["most"], a["sum"] + least - p).alias("most"),
-            (a["seen"] + 1).alias("seen"),
-            F.when(a["sum"] + least - p > a["most"], a["seen"]).otherwise(a["at"]).alias("at"),
-        ),
-        lambda a: F.when(a["most"] > 0, n - a["at"]).otherwise(F.lit(0)),
-    )
-    last = F.ascii(F.right(_col(quality), F.lit(1))) - 33
-    return F.when((F.length(_col(quality)) == 0) | (last >= least), F.length(_col(quality))).otherwise(walked)
+
+    @F.arrow_udf("int")
+    def lengths(column: pa.Array) -> pa.Array:
+        return _clip_lengths(column, least)
+
+    return lengths(_col(quality).cast("string"))
 
 
 def has_primer(seq: Column | str, primers: tuple[str, ...] = PRIMERS, bases: int = PRIMER_BASES) -> Column:

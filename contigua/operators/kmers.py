@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +18,86 @@ def windows(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     return own.select(*keep, "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos")).select(*keep, "pos", F.col("seq").substr(F.col("pos") + 1, F.lit(k)).alias("kmer"))
 
 
+#: So many bases fit in a long.
+PACKED = 31
+_CODE = np.full(256, 4, np.int64)
+_CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+
+def _packed_counts(column: pa.Array, k: int, both_strands: bool) -> pa.RecordBatch:
+    """(code, other, n) of the windows of a batch of sequences, summed: code has two bits a base; other is a window with other letters."""
+    raw, offsets = dna._flat(column)
+    base = _CODE[raw]
+    n = len(base) - k + 1
+    codes, others = np.zeros(0, np.int64), []
+    if n > 0:
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        whole = owner[:n] == owner[k - 1 :]
+        odd = np.concatenate(([0], np.cumsum(base == 4)))
+        plain = whole & (odd[k:] == odd[:n])
+        code, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        two = base & 3
+        for i in range(k):
+            code = code << 2 | two[i : i + n]
+            if both_strands:
+                back |= (3 - two[i : i + n]) << (2 * i)
+        codes = np.concatenate((code[plain], back[plain])) if both_strands else code[plain]
+        for i in np.flatnonzero(whole & ~plain):
+            text = raw[i : i + k].tobytes().decode()
+            others += [text, text.translate(_TURN)[::-1]] if both_strands else [text]
+    found, times = np.unique(codes, return_counts=True)
+    held = Counter(others)
+    return pa.RecordBatch.from_pydict({
+        "code": pa.array(np.concatenate((found, np.full(len(held), -1)))),
+        "other": pa.array([None] * len(found) + list(held), pa.string()),
+        "n": pa.array(np.concatenate((times, np.array(list(held.values()), np.int64)))),
+    })
+
+
+_TURN = str.maketrans("ACGT", "TGCA")
+
+
+def packed_counts(reads: DataFrame, k: int, *, both_strands: bool = False) -> DataFrame:
+    """(code, other, n): counts() of k up to PACKED with k-mers as numbers; other holds those with letters beyond ACGT.
+
+    Batches of reads are packed and summed at once, so that what is shuffled is a number and a count for each k-mer that
+    a batch has.
+    """
+
+    def run(batches):
+        for batch in batches:
+            yield _packed_counts(batch.column(0), k, both_strands)
+
+    found = reads.select("seq").mapInArrow(run, "code long, other string, n long")
+    return found.groupBy("code", "other").agg(F.sum("n").alias("n"))
+
+
+def unpacked(code: Column, k: int) -> Column:
+    """The bases of a packed k-mer."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
 def counts(reads: DataFrame, k: int, *, both_strands: bool = False) -> DataFrame:
     """(kmer, n) over all reads. both_strands adds each read's reverse complement; by default as written only."""
+    if 0 < k <= PACKED:
+        found = packed_counts(reads, k, both_strands=both_strands)
+        return found.select(F.coalesce("other", unpacked(F.col("code"), k)).alias("kmer"), "n")
     found = windows(reads, k)
     if both_strands:
         found = found.select(F.explode(F.array("kmer", dna.reverse_complement("kmer"))).alias("kmer"))
     return found.groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+def hashed(text: Column) -> Column:
+    """128 bits that stand for a text where only equality counts."""
+    return F.struct(F.xxhash64(text, F.lit(1)).alias("a"), F.xxhash64(text, F.lit(2)).alias("b"))
+
+
+def hashed_counts(reads: DataFrame, k: int) -> DataFrame:
+    """(hash, n): how often each window of k bases stands in the reads, by hashed()."""
+    return windows(reads, k).groupBy(hashed(F.col("kmer")).alias("hash")).agg(F.count("*").alias("n"))
+
+
 def spectrum(counted: DataFrame) -> DataFrame:
     """(n, n_kmers): how many k-mers occur n times."""
     return counted.groupBy("n").agg(F.count("*").alias("n_kmers"))

@@ -28,8 +28,9 @@ class Options:
 
 
 def clipped(reads: DataFrame, n: Column) -> DataFrame:
-    """reads cut to their first n bases."""
-    return reads.withColumns({"seq": F.left("seq", n), "quality": F.left("quality", n)})
+    """reads cut to their first n bases; n is worked out once a read."""
+    held = reads.withColumn("_clip", n)
+    return held.withColumns({"seq": F.left("seq", F.col("_clip")), "quality": F.left("quality", F.col("_clip"))}).drop("_clip")
 
 
 def hard_clip(reads: DataFrame, n: int) -> DataFrame:
