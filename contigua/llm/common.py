@@ -25,11 +25,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage is cut and lost executors cost nothing."""
+#: Rows of a few numbers that are worth a file of their own.
+ROWS_A_FILE = 20_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: lineage is cut and lost executors cost nothing.
+
+    rows says that no more than so many rows of some numbers come: they go to as few files as that asks for, instead of
+    one for each shuffle partition.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,12 +95,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     live = materialise(live, "cc-edges")
     maps: list[DataFrame] = []
     round_no = 0
-    while live.limit(1).count():
+    while n := live.count():
         rank = (lambda c: F.col(c)) if round_no % 2 == 0 else (lambda c, r=round_no: F.xxhash64(F.col(c), F.lit(r)))
         both = live.select(F.col("a").alias("v"), F.col("b").alias("u")).union(live.select(F.col("b").alias("v"), F.col("a").alias("u")))
         ranked = both.select("v", F.struct(rank("u").alias("r"), F.col("u").alias("u")).alias("x"))
         best = ranked.groupBy("v").agg(F.min("x").alias("x")).select("v", F.least("x", F.struct(rank("v").alias("r"), F.col("v").alias("u")))["u"].alias("to"))
-        best = materialise(best, "cc-map")
+        best = materialise(best, "cc-map", 2 * n)
         maps.append(best)
         moved = (
             live.join(best.select(F.col("v").alias("a"), F.col("to").alias("to_a")), "a")
@@ -100,17 +108,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("to_a <> to_b")
             .select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
         )
-        live = materialise(moved.distinct(), "cc-edges")
+        live = materialise(moved.distinct(), "cc-edges", n)
         round_no += 1
     if not maps:
         return spark.createDataFrame([], T.StructType([T.StructField("node", T.LongType()), T.StructField("component", T.LongType())]))
     # Later maps are smaller: compose from the last one back, then name each component by its smallest node.
+    nodes = maps[0].count()
     total = maps[-1].select(F.col("v").alias("m"), F.col("to").alias("root"))
     for best in reversed(maps[:-1]):
         total = best.join(total, F.col("to") == F.col("m"), "left").select(F.col("v").alias("m"), F.coalesce("root", "to").alias("root"))
     if len(maps) > 1:
-        total = materialise(total, "cc-total")
+        total = materialise(total, "cc-total", nodes)
     # Written, so that the join has a plain exchange on either side: Spark can then split the partition of a giant root.
-    smallest = materialise(total.groupBy("root").agg(F.min("m").alias("least")), "cc-smallest")
+    smallest = materialise(total.groupBy("root").agg(F.min("m").alias("least")), "cc-smallest", nodes)
     # A root that never moved is no row of the map of the round that made it a root, but its own first row has it.
     return total.join(smallest, "root").select(F.col("m").alias("node"), F.least("least", "root").alias("component"))

@@ -269,7 +269,7 @@ def _of_length(rows: DataFrame, usable, threshold: float, kind: np.dtype) -> Dat
 
     index = classes.select("v", "cid", "n").mapInArrow(to_rows, "key long, cid long, n long, code long, mask binary, vector binary")
     sizes = classes.select("v").mapInArrow(to_keys, "key long").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT_ROWS)
-    hot = materialise(sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")), "itq-hot")
+    hot = materialise(sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")), "itq-hot", count // 64)
     if hot.limit(1).count():
         index = dealt(index, hot, F.xxhash64("cid")).withColumn("bucket", F.xxhash64("key", "pair"))
     else:
@@ -281,6 +281,6 @@ def _of_length(rows: DataFrame, usable, threshold: float, kind: np.dtype) -> Dat
     named = classes.join(links, "cid", "left").join(linked, F.col("cid") == F.col("node"), "left")
     named = materialise(named.select("v", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component")), "itq-named")
     # Written, so that Spark can split the partition of a giant component in the join.
-    smallest = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "itq-smallest")
+    smallest = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "itq-smallest", count)
     of_class = named.join(smallest, "component").select("v", "n_links", "component_id")
     return rows.where(usable).join(of_class, "v").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

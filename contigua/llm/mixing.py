@@ -88,15 +88,16 @@ def borders(numbers: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     Rows before the border (b_cell, b_place) are taken once more than epochs; of those equal to it the ones with row
     numbers up to b_row, which is null if there are none. b_place is null where all of the cell are taken.
     """
-    cells = materialise(numbers.groupBy(*_SOURCE, "_cell").agg(F.sum("size").alias("_sum")), "mix-cells")
+    cells = materialise(numbers.groupBy(*_SOURCE, "_cell").agg(F.sum("size").alias("_sum")), "mix-cells", numbers.count())
+    few = cells.select(*_SOURCE).distinct().count()
     targets = source_targets(cells.groupBy(*_SOURCE).agg(F.sum("_sum").alias("source_size")), weights, share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
     targets = targets.withColumn("epochs", epochs).withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    targets = materialise(targets, "mix-targets")
+    targets = materialise(targets, "mix-targets", few)
     # A source has no more cells than its keys have doublings, a thousand times.
     upto = cells.withColumn("_upto", F.sum("_sum").over(Window.partitionBy(*_SOURCE).orderBy("_cell"))).join(targets, _SOURCE)
     border = upto.where(F.col("_upto") > F.col("_rest")).groupBy(*_SOURCE).agg(F.min_by(F.struct(F.col("_cell").alias("cell"), (F.col("_upto") - F.col("_sum")).alias("first")), "_cell").alias("b"))
-    border = materialise(targets.join(border, _SOURCE, "left"), "mix-border-cells")
+    border = materialise(targets.join(border, _SOURCE, "left"), "mix-border-cells", few)
     inside = border.select(*_SOURCE, "_rest", F.col("b.cell").alias("_cell"), F.col("b.first").alias("_first"))
     groups = numbers.join(inside, [*_SOURCE, "_cell"]).groupBy(*_SOURCE, "_cell", "_rest", "_first", *_ORDER).agg(F.count("*").alias("_n"))
     before = F.sum(F.col("_n") * F.col("size")).over(Window.partitionBy(*_SOURCE).orderBy(_place()).rowsBetween(Window.unboundedPreceding, -1))
@@ -108,7 +109,7 @@ def borders(numbers: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     first = first.withColumn("_p", _place()).groupBy(*_SOURCE).agg(F.min_by(F.struct("_p", "_m"), "_p").alias("g"))
     found = border.join(first, _SOURCE, "left")
     found = found.select(*_SOURCE, "source_size", "target", "epochs", F.col("b.cell").alias("b_cell"), F.col("g._p").alias("b_place"), F.col("g._m").alias("_m"))
-    found = materialise(found, "mix-borders")
+    found = materialise(found, "mix-borders", few)
     if not found.where("_m > 0").limit(1).count():
         return found.drop("_m").withColumn("b_row", F.lit(None).cast("long"))
     # Equal rows at a border are counted off in the order of their row numbers, one part of the table at a time.
@@ -120,7 +121,7 @@ def borders(numbers: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     number = F.row_number().over(Window.partitionBy(*_SOURCE, "_part").orderBy("_row"))
     last = equal.withColumn("_in", number).join(parts, [*_SOURCE, "_part"]).where(F.col("_first") + F.col("_in") == F.col("_m"))
     last = last.select(*_SOURCE, F.col("_row").alias("b_row"))
-    return materialise(found.drop("_m").join(last, _SOURCE, "left"), "mix-borders")
+    return materialise(found.drop("_m").join(last, _SOURCE, "left"), "mix-borders", few)
 
 
 def mix(docs: DataFrame, *, keep: list[str] | None = None, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:

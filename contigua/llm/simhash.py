@@ -194,7 +194,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     rows = distinct.select("fp").mapInArrow(to_rows, "key long, fp long")
-    hot = materialise(hot_buckets(distinct), "simhash-hot")
+    hot = materialise(hot_buckets(distinct), "simhash-hot", distinct.count() // 4)
     if hot.limit(1).count():
         rows = dealt(rows, hot, F.xxhash64("fp")).select(F.col("key").bitwiseOR(F.shiftleft("pair", KEY_BITS)).alias("key"), "fp")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(to_links, "a long, b long")
@@ -222,12 +222,13 @@ def near_duplicates(docs: DataFrame, **kinds) -> DataFrame:
     Fingerprints are written to the shared folder, so a text is hashed once.
     """
     prints = materialise(fingerprints(docs, **kinds), "simhash")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes", prints.count())
     linked = components(links(classes))
     named = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = materialise(named, "simhash-named")
+    n = classes.count()
+    named = materialise(named, "simhash-named", n)
     # Written, so that Spark can split the partition of a giant component in the join.
-    smallest = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-smallest")
+    smallest = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-smallest", n)
     of_print = named.join(smallest, "component").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
