@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import dna, links, scores
 from ..graph import clean, features, model, paths
 from ..operators import overlap
 from ..plans import assemble
 from ..sources import asqg
-from .base import MIN_OVERLAP, edges, found_overlaps, graph, query, rc, shared, sql, unique_reads
+from .base import MIN_OVERLAP, edges, found_overlaps, graph, query, rc, reads, shared, sql, unique_reads
 
 #: A genome so small that reads of these lengths can be unique.
 GENOME = 5_000_000
@@ -272,3 +272,162 @@ def paired_links_direct(spark, sf_dir):
 @query()
 def assemble_contigs(spark, sf_dir):
     return assemble.assemble(graph(spark, sf_dir), assemble.Options(genome=GENOME, max_overlap_delta=5)).contigs
+
+
+_REST = "case when {1} = 1 then substr({0}, cast(overlap + 1 as int)) else left({0}, cast(length({0}) - overlap as int)) end"
+
+
+def _label(seq: str) -> str:
+    rest = _REST.format(seq, "twin_dir")
+    return f"case when dir = twin_dir then {rc(rest)} else {rest} end"
+
+
+@query(sql(f"select edge_key, half::bigint half, {_label('seq')} as rest from he join uread on dst = name", "graph"))
+def edge_rest(spark, sf_dir):
+    """What the end of a half-edge has beyond the overlap, read on from its source."""
+    g = graph(spark, sf_dir)
+    rows = g.half_edges.join(g.vertices.select(F.col("id").alias("dst"), "seq"), "dst")
+    n, size = F.col("overlap"), F.length("seq")
+    start = F.when(F.col("twin_dir") == model.ANTISENSE, 0).otherwise(size - n)
+    return rows.select("edge_key", "half", dna.edge_label("seq", start, start + n - 1, F.col("dir") == F.col("twin_dir")).alias("rest"))
+
+
+@query(sql(f"select edge_key, half::bigint half from (select he.*, row_number() over (partition by src, dir, overlap, {_label('seq')} order by dst, edge_key) r from he join uread on dst = name) where r = 1", "graph"))
+def reduced_edges(spark, sf_dir):
+    return paths.reduced(graph(spark, sf_dir)).select("edge_key", "half")
+
+
+@query(sql(f"select edge_key, half::bigint half, d::bigint as shift from (select he.*, d, a.seq x, case when dir = twin_dir then {rc('b.seq')} else b.seq end y from he join uread a on a.name = src join uread b on b.name = dst, (values (0), (1)) t(d)) where case when dir = 0 then starts_with(y, substr(x, cast(length(x) - overlap + d + 1 as int))) else starts_with(x, substr(y, cast(length(y) - overlap + d + 1 as int))) end", "graph"))
+def consistent_links(spark, sf_dir):
+    """Half-edges as links, with their own distance and one that is a base more: which of them the sequences bear out."""
+    g = graph(spark, sf_dir)
+    seq = lambda c: g.vertices.select(F.col("id").alias(c), F.col("seq").alias(f"_{c}"))
+    rows = g.half_edges.join(seq("src"), "src").join(seq("dst"), "dst").withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1))))
+    size = F.when(F.col("dir") == model.SENSE, F.length("_src")).otherwise(F.length("_dst"))
+    sure = links.holds(F.col("_src"), F.col("_dst"), size - F.col("overlap") + F.col("shift"), F.col("dir"), (F.col("dir") == F.col("twin_dir")).cast("int"))
+    return rows.where(sure).select("edge_key", "half", "shift")
+
+
+@query("select d1, c1, d2, c2, case when c1 = 0 then d1 else 1 - d1 end as dir, (case when c1 = 0 then 1 - d1 else d1 end <> case when c2 = 0 then 1 - d2 else d2 end)::bigint as comp from (values (0::bigint), (1)) a(d1), (values (0::bigint), (1)) b(c1), (values (0::bigint), (1)) c(d2), (values (0::bigint), (1)) d(c2)")
+def link_algebra(spark, sf_dir):
+    """The link between the ends of two links, by their directions and strands."""
+    bits = spark.range(16).select(*[((F.col("id") / (1 << k)).cast("int") % 2).alias(n) for k, n in enumerate(("d1", "c1", "d2", "c2"))])
+    _, direction, comp = links.between(F.lit(0), F.col("d1"), F.col("c1"), F.lit(5), F.col("d2"), F.col("c2"))
+    return bits.select("*", direction.alias("dir"), comp.alias("comp"))
+
+
+_LONG = "160"
+_NEAR = f"""{_STEPS}, {_MATES},
+nw as (select root, dst id, case when dir = 0 then step else -abs(step) end::bigint distance, dir::bigint up, (case when rev then 1 - dir else dir end)::bigint own
+  from (select m.id root, st.* from mt m join deg on deg.id = m.id and size > 80 join st on st.src = m.id where dir = 0 or rev)
+  union select root, st.dst, distance + case when up = 0 then abs(step) else -abs(step) end, up, case when rev then 1 - own else own end from nw join st on st.src = nw.id and st.dir = own where abs(distance) < 80),
+wk as (select id root, id, 0::bigint distance, d::bigint up, d::bigint own from mt, (values (0), (1)) t(d) {_WALK} {_LONG}),
+fr as (select root, id, min(abs(distance)) far from wk where id <> root or distance <> 0 group by all),
+sr as materialized (select n.root, n.id, n.distance, up as dir, (up <> own)::bigint comp from nw n join mt a on a.id = n.root join mt b on b.id = n.id join fr f on f.root = a.mate and f.id = b.mate
+  where abs(distance) < 80 and distance <> 0 and n.root <> n.id and far < abs(distance) + 80),
+l0 as (select root s, id t, distance, dir, comp from sr
+  union all select a.id, b.id, b.distance - a.distance, case when a.comp = 0 then a.dir else 1 - a.dir end, (case when a.comp = 0 then a.dir else 1 - a.dir end <> case when b.comp = 0 then b.dir else 1 - b.dir end)::bigint
+  from sr a join sr b on a.root = b.root and abs(a.distance) < abs(b.distance) and (a.distance < 0) = (b.distance < 0) and a.id <> b.id),
+l1 as (select distinct case when distance < 0 then t else s end src, case when distance < 0 then s else t end dst, abs(distance) distance, case when distance < 0 and comp = 0 then 1 - dir else dir end dir, comp, root_ from (select *, exists (select 1 from sr where root = s and id = t and sr.distance = l0.distance and sr.dir = l0.dir and sr.comp = l0.comp) root_ from l0)),
+hs as (select l1.*, a.seq x, case when comp = 1 then {rc('b.seq')} else b.seq end y from l1 join uread a on a.name = src join uread b on b.name = dst),
+l2 as (select src, dst, distance, dir, comp from hs where root_ or (dir = 0 and distance < length(x) and starts_with(y, substr(x, cast(distance + 1 as int)))) or (dir = 1 and distance < length(y) and starts_with(x, substr(y, cast(distance + 1 as int))))),
+pl2 as materialized (select * from l2 qualify row_number() over (partition by src, dst order by distance, dir, comp) = 1)"""
+
+
+def _pair_links(spark, sf_dir):
+    return shared(spark, sf_dir, "pair-links", lambda: paths.pair_links(graph(spark, sf_dir), 80, 20, None))
+
+
+@query(sql(f"{_NEAR} select * from pl2", "graph", recursive=True))
+def pair_links(spark, sf_dir):
+    return _pair_links(spark, sf_dir)
+
+
+_NEAREST = f"""{_NEAR},
+pr2 as (select a.src, b.dst far, a.dst u, b.dst w, b.distance - a.distance distance, case when a.comp = 0 then a.dir else 1 - a.dir end d2,
+  (case when a.comp = 0 then 1 - a.dir else a.dir end <> case when b.comp = 0 then 1 - b.dir else b.dir end)::bigint c2
+  from pl2 a join pl2 b on a.src = b.src and a.dir = b.dir and (a.distance, a.dst) < (b.distance, b.dst)),
+pr3 as (select src, far, case when distance < 0 then w else u end u, case when distance < 0 then u else w end w, abs(distance) distance, case when distance < 0 and c2 = 0 then 1 - d2 else d2 end d2, c2 from pr2),
+gn2 as (select distinct src, far from (select pr3.*, a.seq x, case when c2 = 1 then {rc('b.seq')} else b.seq end y from pr3 join uread a on a.name = u join uread b on b.name = w)
+  where (d2 = 0 and distance < length(x) and starts_with(y, substr(x, cast(distance + 1 as int)))) or (d2 = 1 and distance < length(y) and starts_with(x, substr(y, cast(distance + 1 as int))))),
+nl as materialized (select pl2.* from pl2 left join gn2 on gn2.src = pl2.src and gn2.far = pl2.dst where gn2.src is null)"""
+
+
+@query(sql(f"{_NEAREST} select * from nl", "graph", recursive=True))
+def nearest_links(spark, sf_dir):
+    return shared(spark, sf_dir, "nearest-links", lambda: paths.nearest_links(graph(spark, sf_dir), _pair_links(spark, sf_dir)))
+
+
+@query(sql(f"""{_NEAREST},
+aq as (select src, dst, dir, case when comp = 1 then dir else 1 - dir end twin_dir, case when dir = 0 then a.size else b.size end - distance overlap, a.size sa, b.size sb from nl join deg a on a.id = src join deg b on b.id = dst),
+aq2 as (select src, dst, dir, twin_dir, overlap from aq where overlap > 0 and overlap < sa and overlap < sb),
+kn as (select distinct edge_key from he join aq2 using (src, dst, dir, twin_dir, overlap)),
+fs as (select aq2.* from aq2 anti join he using (src, dst, dir, twin_dir, overlap)),
+fd as (select distinct case when sw then dst else src end src, case when sw then src else dst end dst, case when sw then twin_dir else dir end dir, case when sw then dir else twin_dir end twin_dir, overlap
+  from (select *, (dst, twin_dir) < (src, dir) sw from fs)),
+ad as (select '+ ' || src || ' ' || dst || ' ' || dir || ' ' || twin_dir || ' ' || overlap edge_key, 0 half, src, dst, dir, twin_dir, overlap from fd
+  union all select '+ ' || src || ' ' || dst || ' ' || dir || ' ' || twin_dir || ' ' || overlap, 1, dst, src, twin_dir, dir, overlap from fd),
+al2 as (select edge_key, half, src, dst, dir, twin_dir, overlap from he union all select * from ad),
+tr as (select edge_key from kn union select edge_key from ad),
+sd as (select distinct src, dir from al2 semi join tr using (edge_key)),
+bk as (select distinct edge_key from al2 semi join sd using (src, dir) where edge_key not in (select edge_key from tr))
+select edge_key, half::bigint half, src, dst, dir::bigint dir, twin_dir::bigint twin_dir, overlap::bigint overlap from al2 where edge_key not in (select edge_key from bk)""", "graph", recursive=True))
+def resolved_edges(spark, sf_dir):
+    """The graph with true edges added and their rivals gone."""
+    found = nearest_links(spark, sf_dir)
+    return paths.with_links(graph(spark, sf_dir), found)[0].half_edges
+
+
+@query(sql(f"""rp as (select id, size::double * {scores.READS} / {GENOME} - coverage * ln(2::double) r from deg),
+dg as (select src, dir, count(*) n from he group by all),
+cd as (select he.* from he join dg on dg.src = he.src and dg.dir = he.dir and n = 1 join rp a on a.id = he.src join rp b on b.id = he.dst
+  where he.dst in (select src from dg where n > 1) and a.r >= 0.5 and b.r < a.r and he.src <> he.dst qualify row_number() over (partition by he.src order by he.dir) = 1)
+select src as id, dst as "end", dir::bigint as dir from cd""", "graph"))
+def repeat_copies(spark, sf_dir):
+    return paths.split_repeats(graph(spark, sf_dir), 0.5, genome=GENOME)[1]
+
+
+def _uneven(g: model.Graph) -> model.Graph:
+    """The graph with second mates covered better, so that some vertices stand out."""
+    more = F.when(F.col("id").endswith("2"), 6).otherwise(0)
+    return model.Graph(g.vertices.withColumn("coverage", F.col("coverage") + more), g.half_edges)
+
+
+@query(sql(f"{_CHIMERIC} select distinct id from (select id, k from sib group by all having bool_and(a) or bool_and(b))", "graph").replace("deg as materialized (", "deg as materialized (select id, size, seq, coverage + case when id like '%2' then 6 else 0 end coverage, sense, antisense from (").replace("left join he on name = src group by all),", "left join he on name = src group by all)),"))
+def chimeric_uneven(spark, sf_dir):
+    return clean.chimeras(_uneven(graph(spark, sf_dir)), 150, genome=GENOME)
+
+
+_WHOLE = "wh as (select id0, id1, case when half_ then 0 else s0 end s0, case when half_ then l0 - 1 else e0 end e0, l0, case when half_ then 0 else s1 end s1, case when half_ then l1 - 1 else e1 end e1, l1 from (select *, length(id0) % 2 = 0 half_ from ed))"
+
+
+def _whole_edges(spark, sf_dir):
+    """Edges of which some cover both reads whole."""
+    whole = F.length("id0") % 2 == 0
+    set_to = lambda c, v: F.when(whole, v).otherwise(F.col(c)).alias(c)
+    return edges(spark, sf_dir).select("id0", "id1", set_to("s0", F.lit(0)), set_to("e0", F.col("l0") - 1), "l0", set_to("s1", F.lit(0)), set_to("e1", F.col("l1") - 1), "l1")
+
+
+@query(sql(f"{_WHOLE} select id0 || ' ' || id1 || ' ' || s0 || ' ' || s1 || ' ' || d as edge_key, h::bigint half, case when h = 0 then id0 else id1 end src, case when h = 0 then id1 else id0 end dst, d::bigint dir, d::bigint twin_dir, (e0 - s0 + 1)::bigint overlap from wh, (values (0), (1)) t(d), (values (0), (1)) u(h) where (s0 = 0 and e0 = l0 - 1) or (s1 = 0 and e1 = l1 - 1)", "edges"))
+def containment_edges(spark, sf_dir):
+    return model.containment_halves(_whole_edges(spark, sf_dir))
+
+
+@query(sql(f"{_WHOLE} select distinct greatest(id0, id1) as id from wh where s0 = 0 and e0 = l0 - 1 and s1 = 0 and e1 = l1 - 1", "edges"))
+def contained_vertices(spark, sf_dir):
+    """Of two reads that cover each other whole the greater name is contained."""
+    return model.contained_ids(_whole_edges(spark, sf_dir))
+
+
+@query(sql("select name as id from (select name, row_number() over (partition by least(seq, " + rc("seq") + ") order by name) r from reads) where r > 1", "reads"))
+def identical_vertices(spark, sf_dir):
+    return clean.identical(model.Graph(model.vertices_of(reads(spark, sf_dir)), None))
+
+
+@query(sql(f"""{_SINGLE}, lp as (select sg.id, prev u, p.twin_dir leave, p.overlap po, n.overlap no_ from sg join he p on p.src = sg.id and p.dir = 1 join he n on n.src = sg.id and n.dir = 0 where prev = nxt and prev <> sg.id and p.twin_dir <> n.twin_dir),
+l1 as (select * from lp qualify row_number() over (partition by u order by id) = 1),
+sq as (select l1.*, case when leave = 0 then a.seq else {rc('a.seq')} end us, v.seq vs, a.coverage + v.coverage cov from l1 join deg a on a.id = u join deg v on v.id = l1.id),
+pt as (select u, us || substr(vs, cast(po + 1 as int)) || substr(us, cast(no_ + 1 as int)) s, leave, cov from sq)
+select d.id, coalesce(case when leave = 0 then s else {rc('s')} end, d.seq) seq, coalesce(cov, d.coverage) coverage from deg d left join pt on u = d.id where d.id not in (select id from l1)""", "graph"))
+def unrolled_loops(spark, sf_dir):
+    return clean.unroll_loops(graph(spark, sf_dir))[0].vertices.select("id", "seq", "coverage")

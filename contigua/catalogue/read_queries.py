@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coords, dna, scores
+from ..graph import paths
 from ..operators import correct, dedup, index, kmers, match, ordered, overlap, preprocess, preqc
+from ..sources import derived
 from .base import MIN_OVERLAP, query, raw_reads, rc, reads, shared, sql, unique_reads, varied_reads
 
 K = 31
@@ -370,3 +372,47 @@ def read_info(spark, sf_dir):
 @query(sql("select read_idx, rank, name from (select read_idx, name, row_number() over (order by seq, read_idx) - 1 as rank from reads)", "reads"))
 def sorted_reads(spark, sf_dir):
     return ordered.global_rank(reads(spark, sf_dir).select("seq", "read_idx", "name"), "seq", "read_idx").select("read_idx", "rank", "name")
+
+
+@query(sql("select b.read_idx // 2 as pair_idx, a.name as first, b.name as second from raw a join raw b on a.read_idx % 2 = 1 and b.read_idx = a.read_idx + 1 where left(a.name, length(a.name) - 1) || translate(right(a.name, 1), '12', '21') <> b.name", "raw"))
+def mismatched_pairs(spark, sf_dir):
+    """Pairs that begin with a second read: their names are no mates'."""
+    shifted = raw_reads(spark, sf_dir).withColumn("read_idx", F.col("read_idx") + 1)
+    return preprocess.mismatched(preprocess.paired(shifted)).select("pair_idx", "first", "second")
+
+
+@query(sql(f"{_JUDGED}, {_PAIRS} select name_a || '/1' as name, seq_a as seq from pairs where drop_a is null and drop_b is null and name_a = name_b union all select name_b || '/2', seq_b from pairs where drop_a is null and drop_b is null and name_a = name_b".replace("read_idx, name, barcode, seq raw", "read_idx, regexp_replace(name, '/[^/]*$', '') as name, barcode, seq raw"), "raw"))
+def renamed_pairs(spark, sf_dir):
+    """Pairs whose mates have one name between them get /1 and /2."""
+    own = _paired(spark, sf_dir).withColumn("name", dna.pair_basename("name"))
+    o = preprocess.Options(**{**P.__dict__, "pairs": 2, "orientation": "ff"})
+    return preprocess.filtered(own, o).where(F.col("name").rlike("/[12]$")).select("name", "seq")
+
+
+@query(sql("select read_idx, quality from (select read_idx, string_agg(chr(ascii(c) - 31 + 31), '' order by i) quality from (select read_idx, i, substr(quality, cast(i as int), 1) c from (select read_idx, quality, unnest(range(1, length(quality) + 1)) i from reads)) group by all)", "reads"))
+def phred64_read(spark, sf_dir):
+    """Qualities as phred + 64 files have them, read as phred + 33."""
+    old = F.array_join(F.transform(F.split("quality", ""), lambda c: F.char(F.ascii(c) + 31)), "")
+    return reads(spark, sf_dir).select("read_idx", dna.from_phred64(old).alias("quality"))
+
+
+@query(sql(f"{_suffixes()}, oc as (select rank, " + ", ".join(f"sum((c = '{b}')::int) over (order by rank)::bigint \"{b}\"" for b in "ACGT") + " from suf) select * from oc where rank % 977 = 3", "reads"))
+def rank_query(spark, sf_dir):
+    """How many of each base the transform has up to some ranks."""
+    found = _index(spark, sf_dir)
+    return index.ranks_at(found, found.where("rank % 977 = 3").select("rank"))
+
+
+@query(sql(f"{_suffixes()} select a.rank // 1000 as block, count(b.rank) n, sum(b.rank)::bigint total, sum(b.rank * (a.rank % 1000))::bigint mixed from suf a left join suf b on b.read_idx = a.read_idx and b.pos = a.pos - 1 group by all", "reads"))
+def lf_mapping(spark, sf_dir):
+    """Where each rank's suffix, longer by the base before it, stands."""
+    found = index.lf_map(_index(spark, sf_dir))
+    return found.groupBy(F.expr("rank div 1000").alias("block")).agg(F.count("to").alias("n"), F.sum("to").alias("total"), F.sum(F.col("to") * (F.col("rank") % 1000)).alias("mixed"))
+
+
+@query(sql("select u.name, w.ref, p as start, p + 100 as \"end\", false as turned from uread u join (select 'd' || doc_id as ref, s, unnest(range(0, length(s) - 100 + 1)) p from dna where length(s) >= 100) w on substr(w.s, cast(p + 1 as int), 100) = u.seq", "unique"))
+def contig_placement(spark, sf_dir):
+    """Where sequences stand in a reference: here the texts that the reads were cut from."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    reference = docs.select(F.concat(F.lit("d"), "doc_id").alias("name"), derived.dna(F.col("text")).alias("seq")).where("seq <> ''")
+    return paths.placed(unique_reads(spark, sf_dir).select("name", "seq"), reference)

@@ -9,10 +9,11 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .graph import model, paths
+from .graph import features, model, paths
 from .operators import correct, dedup, index, kmers, match, ordered, overlap, preprocess, preqc
 from .plans import assemble
-from .sources import asqg, fastx
+from .plans.storage import materialise
+from .sources import asqg, fastx, index_files, simulate
 
 
 def _preprocess(spark, a):
@@ -35,9 +36,13 @@ def _index(spark, a):
     for name, reverse in (("forward", False), ("reverse", True)):
         if getattr(a, f"no_{name}"):
             continue
-        found = index.suffixes(reads, reverse=reverse, algorithm=a.algorithm)
+        found = materialise(index.suffixes(reads, reverse=reverse, algorithm=a.algorithm), "suffixes")
+        runs = materialise(index.runs(found), "runs")
         found.write.mode("overwrite").parquet(f"{a.output}/{name}-suffixes")
-        index.runs(found).write.mode("overwrite").parquet(f"{a.output}/{name}-runs")
+        runs.write.mode("overwrite").parquet(f"{a.output}/{name}-runs")
+        ending = "r" * reverse
+        index_files.write_sai(index.read_ranks(found), f"{a.output}/index.{ending}sai")
+        index_files.write_bwt(runs, reads.count(), f"{a.output}/index.{ending}bwt")
 
 
 def _correct(spark, a):
@@ -48,7 +53,8 @@ def _correct(spark, a):
 def _overlap(spark, a):
     reads = fastx.read(spark, a.input)
     edges = overlap.string_graph(reads, a.min_overlap, reduce=not a.exhaustive, both_strands=not a.no_opposite_strand)
-    asqg.write(model.build(reads, edges), a.output, overlap=a.min_overlap, input=a.input)
+    within = overlap.containments(reads).where("substring = 1").select(F.col("name").alias("id"))
+    asqg.write(model.build(asqg.from_comments(reads), edges), a.output, contained=within, overlap=a.min_overlap, input=a.input)
 
 
 def _assemble(spark, a):
@@ -65,6 +71,32 @@ def _subgraph(spark, a):
     asqg.write(paths.subgraph(graph, roots, a.size), a.output)
 
 
+def _gan(spark, a):
+    graph = asqg.load(spark, a.input)
+    reference = fastx.read(spark, a.reference).select("seq") if a.reference else None
+    labels = materialise(features.labels(graph, asqg.alignments(graph.vertices), reference), "labels")
+    rows = features.edge_features(graph, genome=a.genome_size).join(labels, ["edge_key", "half"])
+    rows.select("label", "x", "y", *features.FEATURES).write.mode("overwrite").csv(f"{a.output}-features", sep="\t", header=True)
+    kept = model.sweep(model.coloured(graph, labels.where("label = 0"), model.BLACK))
+    asqg.write(kept, f"{a.output}-graph.asqg.gz")
+
+
+def _simulate(spark, a):
+    genome = fastx.read(spark, a.input).select("name", F.upper("seq").alias("seq"))
+    pairs = simulate.paired_reads(genome, length=a.length, coverage=a.coverage, insert=a.insert_size, sigma=a.sigma, seed=a.seed)
+    for mate in (0, 1):
+        fastx.write(pairs.where(F.col("mate") == mate), f"{a.output}.{mate + 1}.fa")
+
+
+def _place(spark, a):
+    contigs = fastx.read(spark, a.input)
+    found = materialise(paths.placed(contigs, fastx.read(spark, a.reference), both_strands=a.both_strands), "placed")
+    paths.covered(found).write.mode("overwrite").csv(f"{a.output}-covered", sep="\t", header=True)
+    missing = contigs.join(found.select("name").distinct(), "name", "left_anti")
+    fastx.write(missing.select(*contigs.columns), f"{a.output}-unplaced.fa")
+    paths.contig_statistics(contigs).show(truncate=False)
+
+
 def _rmdup(spark, a):
     reads = fastx.read(spark, a.input)
     kept, dropped = dedup.rmdup(reads)
@@ -101,6 +133,9 @@ COMMANDS = {
     "overlap": (_overlap, {"min-overlap": overlap.MIN_OVERLAP, "exhaustive": False, "no-opposite-strand": False}),
     "assemble": (_assemble, {"min-overlap": 0, "pe-mode": 0, "cut-terminal": 10, "min-branch-length": 150, "max-overlap-delta": 0, "max-overlap-carefully": False, "min-chimeric-length": 0, "max-distance": 500, "insert-size": int, "insert-size-delta": int, "genome-size": assemble.Options.genome}),
     "subgraph": (_subgraph, {"root": str, "size": 5}),
+    "gan": (_gan, {"reference": str, "genome-size": assemble.Options.genome}),
+    "simulate": (_simulate, {"length": 150, "coverage": 50, "insert-size": 1000, "sigma": 100, "seed": 0}),
+    "place": (_place, {"reference": str, "both-strands": False}),
     "rmdup": (_rmdup, {}),
     "preqc": (_preqc, {"kmer-size": 31, "sample-rate": preqc.SAMPLE_RATE}),
     "match": (_match, {"queries": str, "length": 0, "no-opposite-strand": False}),

@@ -1,8 +1,8 @@
-"""The string graph: vertices (id, seq, coverage, barcodes) and half-edges, two for each overlap.
+"""The string graph: vertices (id, seq, coverage, barcodes[, extension]) and half-edges, two for each overlap.
 
 A half-edge (edge_key, half, src, dst, dir, twin_dir, overlap) leaves src at its end (dir 0, sense) or its start (dir 1,
 antisense); its twin has the same edge_key and the other half. Strands change (comp 1) where both ends are alike. The
-overlap's interval on src follows from dir and the sequence's length.
+overlap's interval on src follows from dir and the sequence's length. extension holds what a file says of alignments.
 """
 
 from __future__ import annotations
@@ -33,10 +33,11 @@ class Graph:
 
 
 def vertices_of(reads: DataFrame) -> DataFrame:
-    """Vertices of reads (name, seq[, coverage, barcodes])."""
+    """Vertices of reads (name, seq[, coverage, barcodes, extension])."""
     coverage = F.col("coverage").cast("long") if "coverage" in reads.columns else F.lit(1).cast("long")
     barcodes = F.col("barcodes") if "barcodes" in reads.columns else F.array().cast(NO_BARCODES)
-    return reads.select(F.col("name").alias("id"), "seq", coverage.alias("coverage"), barcodes.alias("barcodes"))
+    more = ["extension"] if "extension" in reads.columns else []
+    return reads.select(F.col("name").alias("id"), "seq", coverage.alias("coverage"), barcodes.alias("barcodes"), *more)
 
 
 def half_edges_of(edges: DataFrame) -> DataFrame:
@@ -48,6 +49,19 @@ def half_edges_of(edges: DataFrame) -> DataFrame:
     return proper.select(key.alias("edge_key"), F.explode(F.array(half(0, 1, 0), half(1, 0, 1))).alias("h")).select("edge_key", "h.*")
 
 
+def containment_halves(edges: DataFrame) -> DataFrame:
+    """Four half-edges, two edges, for each overlap that covers a read whole: it has no direction, so either is there.
+
+    Their keys end with the direction; contained_ids() tells the vertices to mark. Cleaning and chains want none of them.
+    """
+    key = F.concat_ws(" ", "id0", "id1", "s0", "s1")
+    extreme = edges.where(coords.is_extreme(F.col("s0"), F.col("e0"), F.col("l0")) & coords.is_extreme(F.col("s1"), F.col("e1"), F.col("l1")))
+    whole = extreme.where(coords.is_contained(F.col("s0"), F.col("e0"), F.col("l0")) | coords.is_contained(F.col("s1"), F.col("e1"), F.col("l1")))
+    half = lambda h, a, b, d: F.struct(F.lit(str(d)).alias("way"), F.lit(h).alias("half"), F.col(f"id{a}").alias("src"), F.col(f"id{b}").alias("dst"), F.lit(d).alias("dir"), F.lit(d).alias("twin_dir"), (F.col("e0") - F.col("s0") + 1).cast("int").alias("overlap"))
+    rows = whole.select(key.alias("_key"), F.explode(F.array(*[half(h, h, 1 - h, d) for d in (SENSE, ANTISENSE) for h in (0, 1)])).alias("h"))
+    return rows.select(F.concat_ws(" ", "_key", "h.way").alias("edge_key"), "h.half", "h.src", "h.dst", "h.dir", "h.twin_dir", "h.overlap")
+
+
 def contained_ids(edges: DataFrame) -> DataFrame:
     """(id) of vertices that an edge places wholly within another."""
     side = coords.contained_side(*map(F.col, ("s0", "e0", "l0", "s1", "e1", "l1", "id0", "id1")))
@@ -87,6 +101,22 @@ def without_vertices(graph: Graph, ids: DataFrame) -> Graph:
     return replace(without_edges(graph, touched), vertices=graph.vertices.join(ids, "id", "left_anti"))
 
 
+#: What a predicate makes of an edge; sweep() takes the black ones away.
+GREY, WHITE, BLACK = "grey", "white", "black"
+
+
+def coloured(graph: Graph, keys: DataFrame, colour: str) -> Graph:
+    """graph whose half-edges have a colour: the given one for both halves of the edges of (edge_key), grey if they had none."""
+    own = graph.half_edges if "colour" in graph.half_edges.columns else graph.half_edges.withColumn("colour", F.lit(GREY))
+    marked = keys.select("edge_key").distinct().withColumn("_marked", F.lit(True))
+    return graph.with_edges(own.join(marked, "edge_key", "left").withColumn("colour", F.when(F.col("_marked"), F.lit(colour)).otherwise(F.col("colour"))).drop("_marked"))
+
+
+def sweep(graph: Graph, colour: str = BLACK) -> Graph:
+    """graph without the edges of a colour, and without colours."""
+    return graph.with_edges(graph.half_edges.where(F.col("colour") != colour).drop("colour"))
+
+
 def degrees(graph: Graph) -> DataFrame:
     """(id, sense, antisense) of every vertex."""
     own = graph.half_edges.groupBy("src").agg(F.count_if(F.col("dir") == SENSE).alias("sense"), F.count_if(F.col("dir") == ANTISENSE).alias("antisense"))

@@ -135,3 +135,10 @@ def statistics(reads: DataFrame, o: Options = Options()) -> DataFrame:
         return found
     names = _whole_pairs(out).where(F.col("a.name") != F.col("b.name")).where(dna.mate_name(F.col("a.name")) != F.col("b.name"))
     return found.crossJoin(names.agg(F.count("*").alias("n_invalid_pairs")))
+
+
+def mismatched(pairs: DataFrame) -> DataFrame:
+    """(pair_idx, first, second): pairs whose names differ without being mates'."""
+    both = _whole_pairs(pairs.select("pair_idx", "mate", "name"))
+    names = both.select("pair_idx", F.col("a.name").alias("first"), F.col("b.name").alias("second"))
+    return names.where((F.col("first") != F.col("second")) & (dna.mate_name("first") != F.col("second")))

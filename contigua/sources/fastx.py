@@ -24,7 +24,7 @@ def _indexed(records: DataFrame) -> DataFrame:
     """records (file, rec, ...) with read_idx: files by address, then records in order."""
     sizes = records.groupBy("file").agg((F.max("rec") + 1).alias("_n"))
     first = sizes.select("file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_first"))
-    return records.join(F.broadcast(first), "file").withColumn("read_idx", F.col("_first") + F.col("rec"))
+    return records.join(first, "file").withColumn("read_idx", F.col("_first") + F.col("rec"))
 
 
 def _named(records: DataFrame) -> DataFrame:
@@ -91,9 +91,12 @@ def stem(path: str) -> str:
 
 
 def contig_records(vertices: DataFrame) -> DataFrame:
-    """Contigs (id, seq, coverage, barcodes) as reads to write: coverage above 1 and barcodes stand in the comment."""
+    """Contigs (id, seq, coverage, barcodes[, extension]) as reads to write: coverage above 1, barcodes and extension stand in the comment."""
     bx = F.array_join(F.transform("barcodes", lambda b: F.concat(b["bx"], F.lit("!"), b["n"])), ",")
-    comment = F.concat_ws(" ", F.when(F.col("coverage") > 1, F.concat(F.lit("CR:i:"), "coverage")), F.when(bx != "", F.concat(F.lit("BX:Z:"), bx)))
+    tags = [F.when(F.col("coverage") > 1, F.concat(F.lit("CR:i:"), "coverage")), F.when(bx != "", F.concat(F.lit("BX:Z:"), bx))]
+    if "extension" in vertices.columns:
+        tags.append(F.when(F.size("extension") > 0, F.concat(F.lit("EX:Z:"), F.array_join("extension", ","))))
+    comment = F.concat_ws(" ", *tags)
     return vertices.select(F.xxhash64("id").alias("read_idx"), F.col("id").alias("name"), "seq", F.lit(None).cast("string").alias("quality"), comment.alias("comment"))
 
 
