@@ -34,8 +34,15 @@ def reads(documents: DataFrame) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of texts; one that is read in fewer parts than there are cores is dealt out."""
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    cores = spark.sparkContext.defaultParallelism
+    return found if found.rdd.getNumPartitions() >= cores else found.repartition(4 * cores)
+
+
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return reads(documents(spark, sf_dir))
 
 
 SQL = f"""
