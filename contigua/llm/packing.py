@@ -21,7 +21,8 @@ from . import tokens
 from .common import materialise
 
 CAPACITY = 4096
-RANK_BUCKETS = 256
+#: Pieces of one length are numbered in so many parts at least, and more where there are more than so many pieces for each.
+RANK_BUCKETS, BUCKET_ROWS = 256, 500_000
 
 
 class TightestFit:
@@ -124,7 +125,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     are interchangeable: any order among them gives the same rows.
     """
     own = cut.columns
-    held = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(RANK_BUCKETS)).cast("int"))
+    buckets = max(RANK_BUCKETS, cut.count() // BUCKET_ROWS)
+    held = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32" if "ids_crc32" in own else "length"), F.lit(buckets)).cast("int"))
     counts = held.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     first = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).select("length", "_bucket", "_first")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
@@ -132,7 +134,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     # Ranks of one length stay below 2**48, lengths below 2**15.
     starts = (rows[:, 0] << 48) | rows[:, 1]
-    ranked = held.withColumn("_in", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")) - 1)
+    ranked = held.withColumn("_in", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", *(["ids_crc32"] if "ids_crc32" in own else []))) - 1)
     ranked = ranked.join(first, ["length", "_bucket"]).select(*own, (F.col("_first") + F.col("_in")).alias("_rank"))
     out = ranked.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("_rank").schema
 

@@ -25,6 +25,8 @@ from .common import materialise, shared_dir
 
 MAGIC = "contigua-tokens-1"
 SAMPLE = 64
+#: Characters of a text by which rows of the same id are dealt; bytes of ids that a reader takes at once.
+HEAD, SPAN = 64, 4 << 20
 
 
 @dataclass
@@ -77,7 +79,7 @@ class EliasFano:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = tokens.END_ID) -> DataFrame:
-    """Writes docs to shards under out (any address that pyarrow.fs takes) in ascending id order; returns the manifest.
+    """Writes docs to shards under out (any address that pyarrow.fs takes, s3a as s3) in ascending id order; returns the manifest.
 
     Manifest: shard (its number, in order), path, n_docs, n_ids. An attempt of a task writes a file of its own name,
     and only a finished attempt has a row in the manifest: lost executors leave unread files, no wrong ones. Null ids
@@ -86,14 +88,15 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "do
     """
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .repartitionByRange("doc_id")
+        # The beginning of the text parts rows of one id, or of none, without their whole texts being sampled.
+        .repartitionByRange(F.col("doc_id"), F.substring("text", 1, HEAD))
         .sortWithinPartitions("doc_id", "text")
     )
 
     def write(batches):
         encoder = tokens.load(tokenizer)
         shard = TaskContext.get().partitionId()
-        where, root = fs.FileSystem.from_uri(out)
+        where, root = _file_system(out)
         where.create_dir(root, recursive=True)
         path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
         doc_ids, ends, total = [], array("q", [0]), 0
@@ -127,11 +130,19 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "do
     return materialise(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
 
 
+def _file_system(address: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address and the path on it; Spark's names for a store are the store's."""
+    for spark_name, name in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfs://"), ("abfss://", "abfs://")):
+        if address.startswith(spark_name):
+            address = name + address[len(spark_name) :]
+    return fs.FileSystem.from_uri(address)
+
+
 class Shard:
     """One shard file, opened for reading by document number."""
 
     def __init__(self, out: str, path: str) -> None:
-        where, _ = fs.FileSystem.from_uri(out)
+        where, _ = _file_system(out)
         self.file = where.open_input_file(path)
         size = self.file.size()
         length = int.from_bytes(self.file.read_at(8, size - 8), "little")
@@ -149,6 +160,16 @@ class Shard:
         raw = self.file.read_at(count * self.width, first * self.width)
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
+    def several(self, bounds: np.ndarray):
+        """The ids of each document between consecutive bounds, read in spans of some megabytes; a longer one by itself."""
+        i = 0
+        while i + 1 < len(bounds):
+            end = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SPAN // self.width, side="right")) - 1)
+            span = self.ids(int(bounds[i]), int(bounds[end] - bounds[i]))
+            for k in range(i, end):
+                yield span[int(bounds[k] - bounds[i]) : int(bounds[k + 1] - bounds[i])]
+            i = end
+
     def document(self, i: int) -> np.ndarray:
         begin, end = self.bounds.slice(i, 2)
         return self.ids(int(begin), int(end - begin))
@@ -177,8 +198,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame, out: str, *, with_ids:
                     count = min(4096, shard.n_docs - first)
                     bounds = shard.bounds.slice(first, count + 1)
                     step: list[list] = [[], []]
-                    for i in range(count):
-                        ids = shard.ids(int(bounds[i]), int(bounds[i + 1] - bounds[i]))
+                    for ids in shard.several(bounds):
                         step[0].append(zlib.crc32(ids.tobytes()))
                         if with_ids:
                             step[1].append(ids)

@@ -56,9 +56,40 @@ def test_mix_edges(documents, no_documents, clashing):
     assert mixed.count() == sum(r.copies for r in rows)
 
 
-def test_keys_follow_the_ids():
-    u = (int(md5(b"7").hexdigest()[:12], 16) + 0.5) / 2**48
-    assert 0 < u < 1
+def test_rows_are_taken_in_the_order_of_their_keys(spark):
+    """A source that is taken in part: its documents with the smallest keys, from the md5 of their ids."""
+    rows = [(i, "w x y", "b") for i in range(200)] + [(1000 + i, "v " * 40, "a") for i in range(40)]
+    got = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r.source_size == 600]
+    key = lambda i: -math.log((int(md5(str(i).encode()).hexdigest()[:12], 16) + 0.5) / 2**48) / 0.25
+    copies = [r.copies for r in sorted(got, key=lambda r: key(r.doc_id))]
+    assert copies == sorted(copies, reverse=True)
+
+
+@pytest.mark.parametrize("same", [0, 1, 150, 600])
+def test_equal_rows_share_the_border(spark, same):
+    """Rows without id and equal rows are taken as far as the words go: no key is too frequent for that."""
+    rows = [(None, "one two three", "a")] * same + [(None, "one " * (1 + i % 7), "a") for i in range(200)] + [(i, "word " * (i % 9), "a") for i in range(100)] + [(5000 + i, "long text " * 20, "b") for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(table).collect()
+    assert len(got) == len(rows)
+    for size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+    held = sum(r.copies for r in got)
+    assert mixing.mixed_documents(table).count() == held
+    con = duckdb.connect()
+    con.register("documents", table.toArrow())
+    assert sorted(map(tuple, got), key=str) == sorted(con.sql(mixing.ORACLE).fetchall(), key=str)
+
+
+@pytest.mark.parametrize("scale", [0.001, 1.0, 1000.0])
+def test_no_cell_holds_many_documents(spark, scale):
+    """Whatever the weights, cells of the key are narrow: a four-hundredth of a source at most, here of 20,000 rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'a b' as text", "'s' as source")
+    cells = mixing._sized(docs, ["doc_id"], F.lit(scale)).groupBy("_cell").count().agg(F.max("count")).first()[0]
+    assert cells < 50
 
 
 def plain_fingerprint(text):
