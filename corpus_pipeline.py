@@ -14,22 +14,32 @@ from contigua.llm.queries import table, tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a classifier fitted on these documents' labels doesn't reject."""
+    """Documents that a classifier fitted on these documents' labels doesn't reject.
+
+    Null and empty texts share a verdict, repeated rows too; without labels no document is rejected; all columns stay.
+    """
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
+    """One document of each group of near-duplicates: that with the smallest id.
+
+    Null and wordless texts are one group; of repeated rows one stays; rows without id stay only for groups that have none.
+    """
     return simhash.keep_one(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: sources come to their target weights."""
+    """Every document as often as the mix takes it: sources come to their target weights.
+
+    A null source is one of its own; null texts have no words and are taken once more than their source's epochs or as
+    often; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixed documents with their sequences and offsets."""
+    """The pieces of the mixed documents with their sequences and offsets; null text is the end id alone."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
