@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 END_ID = 1
 #: What the caches of a worker hold at most, keys, values and places in the table together: long words don't stay.
-CACHE_BYTES, ENTRY_BYTES, LONGEST = 110 << 20, 140, 64
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 200, 64
 
 #: White space as the tokenizer's normaliser has it; str.split() takes four control characters more.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")

@@ -27,7 +27,7 @@ PRIOR = tuple(
     "casino poker jackpot roulette slots betting bet bets bookmaker lottery porn xxx sex nude adult escort webcam viagra cialis pills pharma replica "
     "warez keygen torrent malware phishing spam seo adserver ads banner popup tracker payday loans".split()
 )
-PRIOR_ODDS = 3.0
+PRIOR_ODDS = 6.0
 #: A url without rule is blocked where the odds are more than three to one: pages that no rule blocks aren't all wanted.
 LEAST_ODDS = math.log(3)
 #: A word has at least this share of all counts: at most 200,000 are, whatever the input.
