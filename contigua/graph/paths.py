@@ -143,8 +143,9 @@ def subgraph(graph: Graph, roots: DataFrame, hops: int = 5) -> Graph:
     return Graph(graph.vertices.join(near.select("id"), "id", "left_semi"), graph.half_edges.join(keys, "edge_key", "left_semi"))
 
 
-#: Steps that a round of walks takes from fewer places than that: a round costs more than their rows then.
-STRIDE, FEW = 4, 200_000
+#: Steps that a round of walks takes from fewer places than told: a round costs more than their rows then, but its plan
+#: doubles with each step.
+STRIDES = ((200_000, 4),)
 
 
 def walks(graph: Graph, roots: DataFrame, max_distance: int, *, first_dir: int | None = None, first: str | None = None, max_nodes: int | None = None) -> DataFrame:
@@ -179,7 +180,7 @@ def walks(graph: Graph, roots: DataFrame, max_distance: int, *, first_dir: int |
         frontier = seen.add(onward(frontier, steps.where(first)).join(seen.all(), key, "left_anti"))
     while n := frontier.count():
         fresh = onward(frontier)
-        for _ in range(STRIDE - 1 if n < FEW else 0):
+        for _ in range(next((k for few, k in STRIDES if n < few), 1) - 1):
             fresh = onward(fresh)
         frontier = seen.add(fresh.join(seen.all(), key, "left_anti"))
     found = seen.all().where("id <> root or distance <> 0").select("root", "id", "distance", F.col("up").alias("dir"), F.when(F.col("up") == F.col("own"), 0).otherwise(1).alias("comp"))
