@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,11 @@ STATES = 8
 #: At most so many words are emitted one by one and known to every task.
 FREQUENT = 20_000
 SEGMENT = 64
-#: Where training starts from: so many segments, and rounds over them at the driver; then rounds over all text.
-START_SEGMENTS, START_ROUNDS, ROUNDS = 8000, 15, 2
+#: Rounds of training, each of them over all training text.
+ROUNDS = 17
 PRIOR = 20.0
-BATCH = 2048
+#: Segments of a block, and rows of expected counts that a task sends as one.
+BATCH, CHUNK = 2048, 256
 END = b""
 FLUSH = 300_000
 
@@ -92,36 +94,46 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[dict[bytes,
 
 def expected_counts(p: Parameters, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Forward and backward over rows of equal length: expected starts, inner starts, moves, emissions. first: of a text."""
-    n, length = ids.shape
-    s = p.move.shape[0]
+    return _expected(p, ids.T.ravel(), np.full(len(ids), ids.shape[1]), first)
+
+
+def _expected(p: Parameters, words: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same over rows whose lengths don't rise. words: the first symbols of all rows, then the second of those that have one, ..."""
+    n, s = len(lengths), p.move.shape[0]
+    left = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    at = np.concatenate(([0], np.cumsum(left)))
+    words = words.astype(np.intp)
     # Single precision is enough for expectations, which are scaled at every step; what is summed is double.
     move, emit = p.move.astype(np.float32), p.emit.astype(np.float32)
     back_move = np.ascontiguousarray(move.T)
-    emitted = emit[ids.T]
-    alpha, gamma = np.empty((length, n, s), np.float32), np.empty((length, n, s), np.float32)
-    inverse = np.empty((length, n, 1), np.float32)
+    emitted = emit.take(words, axis=0)
+    alpha, gamma = np.empty((len(words), s), np.float32), np.empty((len(words), s), np.float32)
+    inverse = np.empty((len(words), 1), np.float32)
     ones, start = np.ones((s, 1), np.float32), np.where(first[:, None], p.start, p.inner).astype(np.float32)
-    for t in range(length):
-        a = alpha[t]
+    for t, m in enumerate(left):
+        here = slice(at[t], at[t + 1])
+        a = alpha[here]
         if t:
-            np.matmul(alpha[t - 1], move, out=a)
-            a *= emitted[t]
+            np.matmul(alpha[at[t - 1] : at[t - 1] + m], move, out=a)
+            a *= emitted[here]
         else:
-            np.multiply(start, emitted[0], out=a)
-        np.divide(1, a @ ones, out=inverse[t])
-        a *= inverse[t]
+            np.multiply(start, emitted[here], out=a)
+        np.divide(1, a @ ones, out=inverse[here])
+        a *= inverse[here]
     moves = np.zeros((s, s))
+    # Rows that end at a step have been left at one until then.
     beta = np.ones((n, s), np.float32)
-    for t in range(length - 1, -1, -1):
-        np.multiply(alpha[t], beta, out=gamma[t])
+    for t in range(len(left) - 1, -1, -1):
+        here, m = slice(at[t], at[t + 1]), left[t]
+        b = beta[:m]
+        np.multiply(alpha[here], b, out=gamma[here])
         if t:
-            beta *= emitted[t]
-            beta *= inverse[t]
-            moves += alpha[t - 1].T @ beta
-            beta = beta @ back_move
-    flat, words = gamma.reshape(-1, s), ids.T.ravel()
-    emissions = np.stack([np.bincount(words, weights=flat[:, k], minlength=len(p.emit)) for k in range(s)], axis=1)
-    return gamma[0][first].sum(axis=0, dtype=float), gamma[0][~first].sum(axis=0, dtype=float), moves * p.move, emissions
+            b *= emitted[here]
+            b *= inverse[here]
+            moves += alpha[at[t - 1] : at[t - 1] + m].T @ b
+            beta[:m] = b @ back_move
+    emissions = np.stack([np.bincount(words, weights=gamma[:, k], minlength=len(p.emit)) for k in range(s)], axis=1)
+    return gamma[:n][first].sum(axis=0, dtype=float), gamma[:n][~first].sum(axis=0, dtype=float), moves * p.move, emissions
 
 
 def maximise(start: np.ndarray, inner: np.ndarray, moves: np.ndarray, emissions: np.ndarray, share: np.ndarray) -> Parameters:
@@ -139,8 +151,7 @@ class Symbols(dict):
         self.rare, self.end = len(words), len(words) + 1
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        get, rare = self.get, self.rare
-        return np.fromiter([get(w, rare) for w in words] + [self.end], np.int32, len(words) + 1)
+        return np.fromiter((*map(self.get, words, repeat(self.rare)), self.end), np.int32, len(words) + 1)
 
 
 def _segments(symbols: Symbols, raw: bytes) -> list[tuple[bool, np.ndarray]]:
@@ -148,22 +159,79 @@ def _segments(symbols: Symbols, raw: bytes) -> list[tuple[bool, np.ndarray]]:
     return [(k == 0, ids[k : k + SEGMENT]) for k in range(0, len(ids), SEGMENT)]
 
 
+def _block(rows: list[tuple[bool, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words, lengths and first of segments, as _expected takes them."""
+    rows = sorted(rows, key=lambda row: -len(row[1]))
+    lengths = np.array([len(x) for _, x in rows])
+    steps = np.concatenate([np.arange(n) for n in lengths])
+    words = np.concatenate([x for _, x in rows])[np.argsort(steps, kind="stable")]
+    return words, lengths, np.array([f for f, _ in rows], bool)
+
+
+def _blocks(batches, symbols: Symbols):
+    """Blocks of the texts' segments, whole and shorter ones apart, so that few steps have few rows; two are held at most."""
+    held: dict[bool, list] = {True: [], False: []}
+    for batch in batches:
+        for raw in batch.column(0):
+            for row in _segments(symbols, raw.as_py()):
+                rows = held[len(row[1]) == SEGMENT]
+                rows.append(row)
+                if len(rows) == BATCH:
+                    yield _block(rows)
+                    rows.clear()
+    for rows in held.values():
+        if rows:
+            yield _block(rows)
+
+
 def _add_up(p: Parameters, rows: list[tuple[bool, np.ndarray]]):
-    """Expected counts of segments, those of each length together and as many at once as fit a cache."""
-    by_length: dict[int, list] = {}
-    for row in rows:
-        by_length.setdefault(len(row[1]), []).append(row)
+    """Expected counts of segments, as many at once as fit a cache."""
     starts, inner = np.zeros(len(p.start)), np.zeros(len(p.start))
     moves, emissions = np.zeros_like(p.move), np.zeros_like(p.emit)
-    for group in by_length.values():
-        for k in range(0, len(group), BATCH):
-            part = group[k : k + BATCH]
-            found = expected_counts(p, np.array([x for _, x in part]), np.array([f for f, _ in part], bool))
-            for total, more in zip((starts, inner, moves, emissions), found, strict=True):
-                total += more
+    for k in range(0, len(rows), BATCH):
+        found = _expected(p, *_block(rows[k : k + BATCH]))
+        for total, more in zip((starts, inner, moves, emissions), found, strict=True):
+            total += more
     return starts, inner, moves, emissions
 
 
+def _all_counts(blocks: DataFrame, width: str, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts over a table of blocks: every task adds up its own, chunk by chunk they are added up by Spark's tasks.
+
+    The rows of the summed table are the symbols' emissions, then the moves, the start and the inner start.
+    """
+    symbols, states = p.emit.shape
+    small = Parameters(p.start, p.inner, p.move, p.emit.astype(np.float32))
+
+    def gather(batches):
+        total = None
+        for batch in batches:
+            for words, lengths, first in zip(*(batch.column(k) for k in range(3)), strict=True):
+                parts = np.frombuffer(words.as_buffer(), width), np.frombuffer(lengths.as_buffer(), "<i8"), np.frombuffer(first.as_buffer(), bool)
+                start, inner, moves, emissions = _expected(small, *parts)
+                if total is None:
+                    total = np.zeros((symbols + states + 2, states))
+                total[:symbols] += emissions
+                total[symbols:] += np.concatenate((moves, start[None], inner[None]))
+        if total is not None:
+            chunks = range(0, len(total), CHUNK)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK for k in chunks], pa.int64()), "part": pa.array([total[k : k + CHUNK].astype("<f4").tobytes() for k in chunks], pa.binary())})
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(part.as_buffer(), "<f4").astype(float)
+                sums[chunk] = sums[chunk] + found if chunk in sums else found
+        if sums:
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int64()), "part": pa.array([x.astype("<f8").tobytes() for x in sums.values()], pa.binary())})
+
+    parts = "chunk long, part binary"
+    summed = sorted((r.chunk, r.part) for r in blocks.mapInArrow(gather, parts).repartition("chunk").mapInArrow(add, parts).collect())
+    table = np.concatenate([np.frombuffer(part, "<f8") for _, part in summed]).reshape(-1, states)
+    return table[-2], table[-1], table[symbols:-2], table[:symbols]
+
+
 @dataclass(frozen=True)
 class Model:
     parameters: Parameters
@@ -177,9 +245,10 @@ class Model:
 
 
 def train(training: DataFrame, counts: DataFrame, *, states: int = STATES, frequent: int = FREQUENT, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch: a start from a bounded sample of segments, then ``rounds`` rounds over all training text.
+    """Baum-Welch: ``rounds`` rounds over all training text from a random start, in which every word has its share.
 
     The driver holds the model and its expected counts ((frequent + 2) x states numbers), never words or texts beyond.
+    Texts become symbols once; the rounds read these.
     """
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("n"))).alias("ends")).first()
     words, cut = frequent_words(counts, frequent)
@@ -195,42 +264,16 @@ def train(training: DataFrame, counts: DataFrame, *, states: int = STATES, frequ
     emit = rng.dirichlet(np.full(states, 2.0), len(share)) * share[:, None]
     p = Parameters(flat, flat, 0.9 * np.eye(states) + 0.1 / states, emit / emit.sum(axis=0))
 
-    def to_segments(batches):
-        for batch in batches:
-            rows = [x for raw in batch.column(0) for x in _segments(symbols, raw.as_py())]
-            yield pa.RecordBatch.from_pydict({"first": pa.array([f for f, _ in rows]), "ids": pa.array([x.tobytes() for _, x in rows], pa.binary())})
-
-    # Segments with low hashes alone are ordered, some three times as many as are taken: what tasks send is bounded too.
-    low = int(min(1.0, 3 * START_SEGMENTS / max(1, n / SEGMENT)) * (1 << 32))
-    drawn = training.select("raw").mapInArrow(to_segments, "first boolean, ids binary").where(F.crc32("ids") < low).orderBy(F.crc32("ids"), "ids").limit(START_SEGMENTS).collect()
-    sample = [(r.first, np.frombuffer(r.ids, np.int32)) for r in drawn]
-    for _ in range(START_ROUNDS if sample else 0):
-        p = maximise(*_add_up(p, sample), share)
-
-    for _ in range(rounds if sample else 0):
-
-        def gather(batches, p=p):
-            total = None
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    rows = [x for raw in batch.column(0)[at : at + 500] for x in _segments(symbols, raw.as_py())]
-                    found = _add_up(p, rows)
-                    total = found if total is None else tuple(map(np.add, total, found))
-            if total is None:
-                return
-            start, inner, moves, emissions = total
-            used = np.flatnonzero(emissions.sum(axis=1))
-            # Rows of one table: symbols from 0 on, below them the moves, the start and the inner start.
-            key = np.concatenate((used, -np.arange(1, states + 3)))
-            values = np.concatenate((emissions[used], moves, start[None], inner[None]))
-            yield pa.RecordBatch.from_pydict({"k": pa.array(key, pa.int64())} | {f"s{j}": pa.array(values[:, j].astype(np.float64)) for j in range(states)})
-
-        fields = [f"s{j}" for j in range(states)]
-        summed = training.select("raw").mapInArrow(gather, "k long, " + ", ".join(f"{f} double" for f in fields)).groupBy("k").agg(*[F.sum(f).alias(f) for f in fields]).toPandas()
-        table = np.zeros((len(share) + states + 2, states))
-        table[summed["k"].to_numpy()] = summed[fields].to_numpy()
-        moves = table[[-1 - j for j in range(states)]]
-        p = maximise(table[-1 - states], table[-2 - states], moves, table[: len(share)], share)
+    if n and rounds:
+        width = "<u2" if len(share) <= 1 << 16 else "<u4"
+
+        def to_blocks(batches):
+            for words, lengths, first in _blocks(batches, symbols):
+                yield pa.RecordBatch.from_pydict({name: pa.array([x.tobytes()], pa.binary()) for name, x in (("words", words.astype(width)), ("lengths", lengths.astype("<i8")), ("first", first))})
+
+        blocks = materialise(training.select("raw").mapInArrow(to_blocks, "words binary, lengths binary, first binary"), "hmm-blocks")
+        for _ in range(rounds):
+            p = maximise(*_all_counts(blocks, width, p), share)
     return Model(p, words, cut, n, total.v, n_end, n_rare, v_rare)
 
 
@@ -244,12 +287,12 @@ def forward(p: Parameters, texts: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate([texts[i] for i in order])
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     left = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-    total = np.zeros(len(texts))
+    total, ones = np.zeros(len(texts)), np.ones(len(p.start))
     alpha = np.broadcast_to(p.start, (len(texts), len(p.start)))
     for t, n in enumerate(left):
         alpha = alpha[:n] if t == 0 else alpha[:n] @ p.move
-        alpha = alpha * p.emit[flat[begin[:n] + t]]
-        scale = alpha.sum(axis=1)
+        alpha = alpha * p.emit.take(flat[begin[:n] + t], axis=0)
+        scale = alpha @ ones
         alpha /= scale[:, None]
         total[:n] += np.log10(scale)
     out[order] = total
@@ -273,7 +316,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                     words = raw.as_py().lower().split()
                     x = symbols.of(words)
                     ids.append(x)
-                    rare = Counter([w for w in words if w not in symbols])
+                    rare = Counter([words[i] for i in np.flatnonzero(x == symbols.rare).tolist()])
                     known = len(words) - sum(rare.values())
                     for col, value in zip(cols, (len(x), known + knows_end, float(log_count[x[x != symbols.rare]].sum()), list(rare), list(rare.values())), strict=True):
                         col.append(value)

@@ -55,6 +55,39 @@ def test_expected_counts_are_those_over_all_paths():
         assert np.allclose(a, b, atol=1e-4)
 
 
+def test_segments_of_many_lengths_count_like_each_alone():
+    p, rng = small_model(), np.random.default_rng(4)
+    rows = [(i % 3 > 0, rng.integers(0, 6, n).astype(np.int32)) for i, n in enumerate((2, 5, 1, 5, 3, 1, 4))]
+    want = [np.zeros(3), np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))]
+    for f, x in rows:
+        _, s, m, e = all_paths(p, x, p.start if f else p.inner)
+        want[0 if f else 1] += s
+        want[2] += m
+        want[3] += e
+    for a, b in zip(hmm._add_up(p, rows), want, strict=True):
+        assert np.allclose(a, b, atol=1e-4)
+
+
+def test_every_round_of_training_is_over_all_texts(spark):
+    """No round is run over some of the texts: none asked for is the start, three are three over every segment."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice("a b c d e f g".split(), n)) for n in (*rng.integers(0, 12, 9000), 64, 200, 1000)]
+    training = spark.createDataFrame([(t.encode(),) for t in texts], "raw binary").repartition(3)
+    counts = hmm.word_counts(training)
+    start = hmm.train(training, counts, states=3, frequent=5, rounds=0)
+    assert np.allclose(start.parameters.move, 0.9 * np.eye(3) + 0.1 / 3)
+    symbols = hmm.Symbols(sorted(start.words))
+    segments = [x for t in texts for x in hmm._segments(symbols, t.encode())]
+    assert len(segments) > 9000
+    share = np.bincount(np.concatenate([x for _, x in segments]), minlength=symbols.end + 1) + 0.5
+    want = start.parameters
+    for _ in range(3):
+        want = hmm.maximise(*hmm._add_up(want, segments), share / share.sum())
+    got = hmm.train(training, counts, states=3, frequent=5, rounds=3).parameters
+    for a, b in ((got.start, want.start), (got.inner, want.inner), (got.move, want.move), (got.emit, want.emit)):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-6)
+
+
 def test_training_raises_the_likelihood():
     rng, p, share = np.random.default_rng(1), small_model(seed=2), np.full(6, 1 / 6)
     rows = [(True, rng.choice(6, 12, p=[0.4, 0.4, 0.05, 0.05, 0.05, 0.05] if i % 2 else [0.05, 0.05, 0.4, 0.4, 0.05, 0.05])) for i in range(200)]
