@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialise, shared_dir
+from .common import shared_dir
 
 MAGIC = "contigua-tokens-1"
 SAMPLE = 64
 #: Characters of a text by which rows of the same id are dealt; bytes of ids that a reader takes at once.
 HEAD, SPAN = 64, 4 << 20
+#: Ids that are worth a reading task of their own.
+IDS_A_TASK = 4 << 20
 
 
 @dataclass
@@ -127,7 +129,9 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, *, id_col: str = "do
         sink.close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path], "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([total], pa.int64())})
 
-    return materialise(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
+    fields = "shard long, path string, n_docs long, n_ids long"
+    # A row for each task comes to the driver, not a file for each: a file costs an executor processes of the system.
+    return docs.sparkSession.createDataFrame(ordered.mapInArrow(write, fields).collect(), fields)
 
 
 def _file_system(address: str) -> tuple[fs.FileSystem, str]:
@@ -179,7 +183,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame, out: str, *, with_ids:
     """(doc_id, start, n_tokens, ids_crc32, shard[, ids]) of every document in the shards, in files' own order.
 
     start counts the ids of all documents before it, over all shards. The manifest (a row for each writing task) is
-    all that the driver sees. ids are an array column, for users who want them back.
+    all that the driver sees. Small shards share a reading task. ids are an array column, for users who want them back.
     """
     rows = sorted((r.shard, r.path, r.n_ids) for r in manifest.collect())
     placed, base = [], 0
@@ -188,7 +192,9 @@ def read_shards(spark: SparkSession, manifest: DataFrame, out: str, *, with_ids:
         base += n_ids
     shards = spark.createDataFrame(placed, "shard long, path string, base long")
     if len(placed) > 1:
-        shards = shards.repartition(len(placed))
+        tasks = max(spark.sparkContext.defaultParallelism, -(-base // IDS_A_TASK))
+        # From one partition, so that they are dealt out evenly.
+        shards = shards.coalesce(1).repartition(min(len(placed), tasks))
 
     def read(batches):
         for batch in batches:

@@ -15,6 +15,8 @@ CACHE_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 200, 64
 #: White space as the tokenizer's normaliser has it; str.split() takes four control characters more.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
+#: Punctuation that ends words.
+MARKS = ".,!?;:"
 #: Below U+0100 a word is in composed form, and lower-casing goes letter by letter.
 _PLAIN = re.compile("[\x21-\x7e\xa1-\xff]+")
 
@@ -30,17 +32,21 @@ def _byte_letters() -> list[str]:
 
 
 class _Pieces(dict):
-    """Ids of one piece of the tokenizer's own split."""
+    """Ids of one piece of the tokenizer's own split; those that are words of small letters are held by their words."""
 
     def __init__(self, model) -> None:
         super().__init__()
-        self.room = CACHE_BYTES // 2 // ENTRY_BYTES
+        self.room = CACHE_BYTES // 4 // ENTRY_BYTES
         self.tokenize = model.tokenize
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
 
+    def encode(self, piece: str) -> bytes:
+        # Printable ASCII is written as itself.
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+        ids = self.encode(piece)
         if len(self) < self.room and len(piece) <= LONGEST:
             self[piece] = ids
         return ids
@@ -55,7 +61,7 @@ class WordTokenizer(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        self.room = CACHE_BYTES // 2 // ENTRY_BYTES
+        self.room = CACHE_BYTES * 3 // 4 // ENTRY_BYTES
         self.library = Tokenizer.from_file(path)
         probe = self.library.encode("ab c", add_special_tokens=False).ids
         apart = [i for w in ("ab", "c") for i in self.library.encode(w, add_special_tokens=False).ids]
@@ -65,17 +71,19 @@ class WordTokenizer(dict):
         self.pieces = _Pieces(self.library.model)
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else re.compile(r"(?!)")
+        # Else a word of letters, with one of these marks or none after it, holds no special token.
+        self.special_letters = any(t.isalpha() or t[-1:] in MARKS and (t[:-1].isalpha() or not t[:-1]) for t in special)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
 
     def __missing__(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and not self.special.search(word):
-            low, piece = word.lower(), self.pieces.__getitem__
-            if low.isalpha():
-                ids = piece(low)
-            elif low[:-1].isalpha() and low[-1] in ".,!?;:":
-                ids = piece(low[:-1]) + piece(low[-1])
-            else:
-                ids = b"".join(map(piece, self.split(low)))
+        low = word.lower()
+        body, mark = (low, "") if low.isalpha() else (low[:-1], low[-1:])
+        if (not mark or mark in MARKS and body.isalpha()) and not self.special_letters and (word.isascii() or _PLAIN.fullmatch(word)):
+            ids = self.pieces.encode(word) if word == body else self[body]
+            if mark:
+                ids += self.pieces[mark]
+        elif _PLAIN.fullmatch(word) and not self.special.search(word):
+            ids = b"".join(map(self.pieces.__getitem__, self.split(low)))
         else:
             ids = array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
         if len(self) < self.room and len(word) <= LONGEST:
@@ -86,8 +94,8 @@ class WordTokenizer(dict):
         """All ids of a text without the end id; null counts as empty. A lone word of any length is one step."""
         if not text:
             return b""
-        words = text.split() if not _CONTROL.search(text) else _SPACE.split(text)
-        return b"".join(map(self.__getitem__, filter(None, words)))
+        words = text.split() if not _CONTROL.search(text) else filter(None, _SPACE.split(text))
+        return b"".join([self[w] for w in words])
 
 
 _LOADED: dict[str, WordTokenizer] = {}

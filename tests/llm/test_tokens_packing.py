@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from contigua.llm import packing, token_file, tokens
 from contigua.llm.common import shared_dir
 
-from .conftest import awkward_rows
+from .conftest import awkward_rows, prose
 
 
 def expected(tokenizer):
@@ -43,6 +43,31 @@ def test_ids_read_back_and_select(spark, documents, tokenizer):
         assert total == shard.n_ids
 
 
+def test_many_small_shards_cost_few_files(spark, tokenizer):
+    """The manifest is no table of a file for each shard, and small shards share reading tasks, whose results are files."""
+    settings_for_many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings_for_many}
+    try:
+        for k, v in settings_for_many.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame([(i, prose(i, 1 + i % 9)) for i in range(300)], "doc_id long, text string")
+        out = shared_dir(spark, "t")
+        manifest = token_file.write_shards(docs, tokenizer, out)
+        read = token_file.read_shards(spark, manifest, out)
+        rows = sorted(read.collect(), key=lambda r: r.doc_id)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert manifest.count() > 20 and not manifest.inputFiles()
+    assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    library, start = Tokenizer.from_file(tokenizer), 0
+    for i, r in enumerate(rows):
+        ids = [*library.encode(prose(i, 1 + i % 9), add_special_tokens=False).ids, 1]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert len(rows) == 300
+
+
 def test_no_documents(no_documents, tokenizer):
     assert token_file.token_round_trip(no_documents, tokenizer).count() == 0
     assert packing.pack_documents(no_documents, tokenizer).count() == 0
