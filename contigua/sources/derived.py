@@ -6,9 +6,13 @@ bases every STRIDE. Names pair neighbouring tiles, qualities and barcodes are fu
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dna import _flat
+
 LENGTH, STRIDE = 100, 40
 LETTERS = "".join(chr(a + i) for a in (97, 65) for i in range(26))
 BASES = "".join("ACGT"[i % 4] for _ in range(2) for i in range(26))
@@ -20,14 +24,51 @@ def dna(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, LETTERS, BASES), "[^ACGT]", "")
 
 
+#: The base that a byte of a text becomes; 0 for bytes that are dropped.
+_BASE = np.zeros(256, np.uint8)
+_BASE[np.frombuffer(LETTERS.encode(), np.uint8)] = np.frombuffer(BASES.encode(), np.uint8)
+#: Texts are cut by so many bytes at a time, tiles told by so many.
+_TEXT_BYTES, _TILES = 1 << 22, 1 << 16
+
+
+def _tiles(batch: pa.RecordBatch):
+    """Batches (doc_id, source, k, seq): the tiles of a batch (doc_id, source, text) of texts."""
+    raw, at = _flat(batch.column(2))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + _TEXT_BYTES, "right")) - 1)
+        base = _BASE[raw[at[first] : at[last]]]
+        kept = base != 0
+        upto = np.concatenate(([0], np.cumsum(kept)))[at[first : last + 1] - at[first]]
+        base = base[kept]
+        count = np.maximum((np.diff(upto) - LENGTH) // STRIDE + 1, 0)
+        owner = np.repeat(np.arange(last - first), count)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        start = upto[owner] + k * STRIDE
+        for i in range(0, len(owner), _TILES):
+            own = slice(i, i + _TILES)
+            held = base[start[own, None] + np.arange(LENGTH)]
+            seq = pa.Array.from_buffers(pa.string(), len(held), [None, pa.py_buffer(np.arange(0, held.size + 1, LENGTH, dtype=np.int32)), pa.py_buffer(held)])
+            told = pa.array(first + owner[own])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(told), batch.column(1).take(told), pa.array(k[own], pa.int32()), seq], ["doc_id", "source", "k", "seq"])
+        first = last
+
+
 def reads(documents: DataFrame) -> DataFrame:
-    """(read_idx, name, seq, quality, comment, barcode): every tile of every text; short texts give none."""
-    tiles = documents.select("doc_id", "source", dna(F.col("text")).alias("s")).where(F.length("s") >= LENGTH)
-    tiles = tiles.select("doc_id", "source", "s", F.explode(F.sequence(F.lit(0), F.expr(f"(length(s) - {LENGTH}) div {STRIDE}").cast("int"))).alias("k"))
+    """(read_idx, name, seq, quality, comment, barcode): every tile of every text; short texts give none.
+
+    Texts are cut as bytes, batch by batch: a tile's row never holds its text, and work follows the texts' length.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            yield from _tiles(batch)
+
+    tiles = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, source string, k int, seq string")
     return tiles.select(
         (F.col("doc_id") * 1_000_000 + F.col("k")).alias("read_idx"),
         F.concat(F.lit("d"), "doc_id", F.lit("."), F.expr("k div 2"), F.lit("/"), F.col("k") % 2 + 1).alias("name"),
-        F.col("s").substr((1 + F.col("k") * STRIDE).cast("int"), F.lit(LENGTH)).alias("seq"),
+        "seq",
         F.lit(QUALITIES).substr((1 + (F.col("doc_id") * 7 + F.col("k") * 3) % 97).cast("int"), F.lit(LENGTH)).alias("quality"),
         F.lit(None).cast("string").alias("comment"),
         F.coalesce("source", F.lit("")).alias("barcode"),

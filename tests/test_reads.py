@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -237,3 +238,23 @@ def test_streamed_report(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("cycles").where("n = 4 and mean_quality = 40").count() == 20
+
+
+def test_tiles_follow_the_length_of_texts(spark):
+    """A row for a tile that held its text, or looked for its place from the text's start, took the square of the length."""
+    from contigua.sources import derived
+
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefgXYZ .,é\n", k=1_500_000))
+    texts = [long, None, "", "abc", "a" * 99 + "é", "z" * 100, "ß" * 500 + "Q" * 140]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) source")
+    began = time.time()
+    got = preprocess.filtered(derived.reads(docs), preprocess.Options(quality_trim=2, min_length=0, primer_check=False)).select("read_idx", "name", "seq", "barcode").collect()
+    took = time.time() - began
+    base = dict(zip(derived.LETTERS, derived.BASES, strict=True))
+    want = []
+    for d, text in enumerate(texts):
+        s = "".join(base.get(c, "") for c in text or "")
+        want += [(d * 1_000_000 + k, f"d{d}.{k // 2}/{k % 2 + 1}", s[40 * k : 40 * k + 100], "") for k in range((len(s) - 100) // 40 + 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert took < 20
