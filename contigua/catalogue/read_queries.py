@@ -182,13 +182,14 @@ def _counts(spark, sf_dir):
 
 @query(sql(f"{_KMERS} select left(kmer, 6) prefix, count(*) n_kmers, sum(n)::bigint total, max(n) most from km group by all", "reads"))
 def kmer_count(spark, sf_dir):
-    counted = kmers.counts(reads(spark, sf_dir), K)
-    return counted.groupBy(F.left("kmer", F.lit(6)).alias("prefix")).agg(F.count("*").alias("n_kmers"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    counted = kmers.packed_counts(reads(spark, sf_dir), K)
+    summed = counted.groupBy(F.shiftright("code", 2 * (K - 6)).alias("_code"), F.left("other", F.lit(6)).alias("_other")).agg(F.count("*").alias("n_kmers"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    return summed.groupBy(F.coalesce("_other", kmers.unpacked(F.col("_code"), 6)).alias("prefix")).agg(F.sum("n_kmers").alias("n_kmers"), F.sum("total").alias("total"), F.max("most").alias("most"))
 
 
 @query(sql(f"{_KMERS} select n, count(*) n_kmers from km group by all", "reads"))
 def kmer_spectrum(spark, sf_dir):
-    return kmers.spectrum(_counts(spark, sf_dir))
+    return kmers.spectrum(kmers.packed_counts(reads(spark, sf_dir), K))
 
 
 _SOLID = f"""{_KMERS},
@@ -261,7 +262,7 @@ def preqc_cycle_quality(spark, sf_dir):
 
 @query(sql(f"{_KMERS}, dep as (select n d from (select n, count(*) c from km where n > 1 group by all) order by c desc, n limit 1) select {K}::bigint k, d as depth, (sum(n) // any_value(d))::bigint size from km, dep group by all", "reads"))
 def preqc_genome_size(spark, sf_dir):
-    return kmers.genome_size(_counts(spark, sf_dir))
+    return kmers.genome_size(kmers.counts(reads(spark, sf_dir), K))
 
 
 def _index(spark, sf_dir, reverse=False):

@@ -258,3 +258,25 @@ def test_tiles_follow_the_length_of_texts(spark):
         want += [(d * 1_000_000 + k, f"d{d}.{k // 2}/{k % 2 + 1}", s[40 * k : 40 * k + 100], "") for k in range((len(s) - 100) // 40 + 1)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert took < 20
+
+
+@pytest.mark.parametrize(("k", "both"), [(20, True), (31, False), (40, False), (70, True)])
+def test_windows_counted_in_pieces(spark, k, both):
+    """Long repeats of one part, letters beyond ACGT, short reads."""
+    rng = random.Random(k)
+    g = genome(300, k) + "A" * 120 + "ACGT" * 40 + genome(100, k + 1)
+    seqs = [g[i : i + rng.choice((15, 69, 70, 100, 130))] for i in range(0, 700, 7)] * 2 + [g, "", "A" * 90 + "N" + "A" * 90, "N" * 75]
+    reads = frame(spark, seqs).repartition(3)
+    plain = Counter(s[i : i + k] for s in seqs for i in range(len(s) - k + 1))
+    if k <= kmers.PACKED:
+        strands = seqs + [rc(s) for s in seqs] * both
+        want = Counter(s[i : i + k] for s in strands for i in range(len(s) - k + 1))
+        counted = kmers.counts(reads, k, both_strands=both)
+        assert {r.kmer: r.n for r in counted.collect()} == want
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(bucket" in plan and "hashpartitioning(code" not in plan
+    texts = sorted(plain)[::5] + [genome(k, 999), "C" * k]
+    half = genome(k // 2, k)
+    texts += [half + rc(half)] * (k % 2 == 0)
+    got = kmers.found(spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "seq string, tag int"), reads, k, both_strands=both).collect()
+    assert sorted((r.tag, r.seq, r.n) for r in got) == [(i, t, plain[t] + (plain[rc(t)] if both else 0)) for i, t in enumerate(texts)]
