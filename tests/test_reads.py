@@ -280,3 +280,15 @@ def test_windows_counted_in_pieces(spark, k, both):
     texts += [half + rc(half)] * (k % 2 == 0)
     got = kmers.found(spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "seq string, tag int"), reads, k, both_strands=both).collect()
     assert sorted((r.tag, r.seq, r.n) for r in got) == [(i, t, plain[t] + (plain[rc(t)] if both else 0)) for i, t in enumerate(texts)]
+
+
+def test_reads_within_longer_ones_travel_in_pieces(spark):
+    """A row for each place of a longer read took the square of its length."""
+    rng = random.Random(5)
+    g = genome(400, 5)
+    seqs = sorted({g[i : i + n] if rng.random() < 0.5 else rc(g[i : i + n]) for i in range(0, 300, 3) for n in (30, 60, 100)})
+    seqs += [genome(30, 6), genome(60, 7)]
+    found = dedup.contained(spark.createDataFrame([(s,) for s in seqs], "seq string"))
+    want = {s for s in seqs if any(len(t) > len(s) and (s in t or rc(s) in t) for t in seqs)}
+    assert sorted(r.seq for r in found.collect()) == sorted(want)
+    assert "substr(outer" not in found._jdf.queryExecution().toString()
