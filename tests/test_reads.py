@@ -292,3 +292,15 @@ def test_reads_within_longer_ones_travel_in_pieces(spark):
     want = {s for s in seqs if any(len(t) > len(s) and (s in t or rc(s) in t) for t in seqs)}
     assert sorted(r.seq for r in found.collect()) == sorted(want)
     assert "substr(outer" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("m", [5, 12, 20])
+def test_overlaps_shuffle_some_windows_of_a_read(spark, m):
+    """Each place of a read was a row. Repeats of one part, of which equal windows must take the same one, included."""
+    g = genome(60, m) + "ACACACACACACACAC" * 2 + "A" * 25 + genome(60, m + 1)
+    seqs = sorted({g[i : i + n] for i in range(0, len(g) - 40, 3) for n in (24, 40)})
+    seqs = [s for s in seqs if rc(s) not in seqs]
+    found = overlap.overlaps(frame(spark, seqs), m)
+    got = {(r.q, r.q_rc, r.t, r.t_rc): r.length for r in found.collect()}
+    assert got == plain_overlaps([(f"r{i:03d}", s) for i, s in enumerate(seqs)], m)
+    assert overlap._spots(overlap.oriented(frame(spark, [genome(100, 7)])), 50, False).count() < 2 * 50 / 4
